@@ -269,8 +269,11 @@ def links(nodes: DataFrame, parts: list[tuple[int, int]], distance: int, more_di
     return keys(nodes, parts).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def sorted_groups(batches):
-    """Lists of record batches with the rows of each value of column 0, by which the rows are sorted."""
+def sorted_groups(batches, single: bool = False):
+    """Lists of record batches with the rows of each value of column 0, by which the rows are sorted.
+
+    Groups of one row are left out unless `single`.
+    """
     held: list[pa.RecordBatch] = []
     held_key = None
     for batch in batches:
@@ -280,12 +283,12 @@ def sorted_groups(batches):
         bounds = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
         for s, e in zip(bounds[:-1], bounds[1:], strict=True):
             if held and k[s] != held_key:
-                if len(held) > 1 or held[0].num_rows > 1:
+                if single or len(held) > 1 or held[0].num_rows > 1:
                     yield held
                 held = []
             held_key = k[s]
             held.append(batch.slice(s, e - s))
-    if held and (len(held) > 1 or held[0].num_rows > 1):
+    if held and (single or len(held) > 1 or held[0].num_rows > 1):
         yield held
 
 
