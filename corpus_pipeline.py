@@ -6,22 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import quality_rules, simhash
+from quarry.llm import decontaminate, line_dedup, packing, quality_rules, simhash
 from quarry.llm.common import fresh, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule or lie outside their group's fences go."""
     return quality_rules.filter_documents(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines near an earlier one go, and documents of which nothing is left."""
+    return line_dedup.without_duplicates(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles: pairs of a similarity of 0.8 or more are near duplicates."""
+    """One document of each group stays: five-word shingles, linked at a similarity of about 0.8."""
     return simhash.keep_first(docs, shingle=5, distance=10, extra=2, more_distance=32)
 
 
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold 0.8 of a benchmark item's shingles go."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left and their places in sequences of 4096 tokens."""
+    return packing.pack(docs, size=4096)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality),
+    ("line_dedup", lines),
     ("simhash", near_duplicates),
+    ("decontaminate", contamination),
+    ("packing", packed),
 ]
 
 #: No stage is expressible in SQL (sketches, edit distance, fingerprints, a tokenizer).
@@ -29,6 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over `documents`."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh(spark, f"pipeline-{name}")

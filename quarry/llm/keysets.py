@@ -78,11 +78,12 @@ class KeySet:
         return _OPEN[path]
 
 
-def build(blocks: DataFrame, parts: int, least: int) -> KeySet:
-    """The keys that at least `least` distinct owners have."""
+def build(blocks: DataFrame, parts: int, *least: int) -> list[KeySet]:
+    """For each number in `least`, the keys that at least so many distinct owners have."""
     spark = blocks.sparkSession
-    found = KeySet(fresh(spark, "keys"), parts)
-    make_dirs(spark, found.path)
+    found = [KeySet(fresh(spark, "keys"), parts) for _ in least]
+    for one in found:
+        make_dirs(spark, one.path)
 
     def reduce(batches):
         for table in sorted_groups(batches, single=True):
@@ -90,12 +91,14 @@ def build(blocks: DataFrame, parts: int, least: int) -> KeySet:
             rows = [(k.as_py(), o.as_py()) for batch in table for k, o in zip(batch.column(1), batch.column(2), strict=True)]
             keys = np.concatenate([np.frombuffer(k, U64) for k, _ in rows])
             owners = np.concatenate([np.frombuffer(o, U64) for _, o in rows])
+            del rows
             keys, _ = _distinct(keys, owners)
             unique, n = np.unique(keys, return_counts=True)
-            unique = unique[n >= least]
-            if len(unique):
-                with writing(f"{found.path}/{part}.keys") as f:
-                    f.write(unique.tobytes())
+            for one, number in zip(found, least, strict=True):
+                own = unique[n >= number]
+                if len(own):
+                    with writing(f"{one.path}/{part}.keys") as f:
+                        f.write(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([len(unique)])], ["n"])
 
     blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(reduce, "n long").agg(F.sum("n")).collect()

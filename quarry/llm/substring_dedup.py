@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut
 from .keysets import BLOCK, KeySet, Shipper, build, parts_for
 from .textvec import LOWER, U64, Chunk, chunks, mix, powers
 
@@ -72,7 +72,7 @@ def repeated(texts: DataFrame) -> KeySet:
                 yield from shipper.add(np.concatenate([key, key[twice]]), np.concatenate([owner[index], ~owner[index][twice]]))
         yield from shipper.ship()
 
-    return build(texts.mapInArrow(run, BLOCK), parts, 2)
+    return build(texts.mapInArrow(run, BLOCK), parts, 2)[0]
 
 
 def repeated_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,7 +137,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
 
 def without_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 10) -> DataFrame:
-    """`docs` with the repeated spans cut out of the texts; all other columns and rows stay."""
+    """`docs` with the repeated spans cut out of the texts; all other columns and rows stay, and texts of null ids."""
     gone = spans(docs, id_col, text_col, least_words).groupBy(F.col("doc_id").alias("__q_id")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__q_spans")
     )
@@ -150,9 +150,6 @@ def without_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__q_id")), "left")
+    joined = docs.join(gone, F.col(f"`{id_col}`") == F.col("__q_id"), "left")
     new = F.when(F.col("__q_spans").isNull(), text).otherwise(rest)
     return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
-
-
-__all__ = ["drop_cut", "repeated_units", "spans", "units", "without_spans"]
