@@ -164,17 +164,17 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, size: int, end: int, voc
 
     def run(batches):
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            rows = []
-            for row, ids in encoded(batch.column(1), vocabulary, end):
-                for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    rows.append(row)
-                    out.append((piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            out: list[tuple[int, int, int, int, int]] = []
+            for first, ids, at in encoded(batch.column(1), vocabulary, end):
+                view = memoryview(ids.astype("<u4")).cast("B")
+                for row, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True), first):
+                    for piece, p in enumerate(range(s, e, size)):
+                        q = min(p + size, e)
+                        out.append((row, piece, p - s, q - p, zlib.crc32(view[4 * p : 4 * q])))
             if out:
                 a = np.array(out, np.int64)
-                columns = [pa.array(a[:, 0].astype(np.int32)), *(pa.array(np.ascontiguousarray(a[:, k])) for k in (1, 2, 3))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns], names)
+                columns = [pa.array(a[:, 1].astype(np.int32)), *(pa.array(np.ascontiguousarray(a[:, k])) for k in (2, 3, 4))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a[:, 0])), *columns], names)
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

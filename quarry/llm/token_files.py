@@ -114,10 +114,9 @@ def write(
             batch = first
             while batch is not None:
                 lengths = np.zeros(batch.num_rows, np.int64)
-                for row, ids in encoded(batch.column(1), vocabulary, end):
-                    values = np.frombuffer(ids, "<u4").astype(dtype)
-                    lengths[row] = len(values)
-                    sequences.append(values)
+                for row, ids, at in encoded(batch.column(1), vocabulary, end):
+                    lengths[row : row + len(at) - 1] = np.diff(at)
+                    sequences.append(ids.astype(dtype))
                 starts = total + np.cumsum(lengths) - lengths
                 index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts), pa.array(lengths)], schema=schema))
                 total += int(lengths.sum())
