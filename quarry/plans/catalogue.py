@@ -5,10 +5,513 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import terms as T
+from ..operators import search as S
+from ..operators.index import Index, build_index, page_terms
+from ..operators.query import QUERY_TERMS, SearchOptions, compile_terms
+from ..sources import files, pages
+from . import oracle as O
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
+_MEMO: dict[tuple[str, str, str], object] = {}
+
+
+def register(name: str, sql: str | None) -> Callable[[Query], Query]:
+    def keep(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLE[name] = sql
+        return query
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _memo(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
+    """One index per application and input, so that many queries share what is persisted."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MEMO:
+        for old in [k for k in _MEMO if k[0] != key[0]]:
+            del _MEMO[old]
+        _MEMO[key] = make()
+    return _MEMO[key]
+
+
+def words(spark: SparkSession, sf_dir: str) -> Index:
+    """The documents' words alone."""
+    return _memo(spark, sf_dir, "words", lambda: build_index(table(spark, sf_dir, "documents"), "doc_id", "text").persist())
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> Index:
+    """The pages' titles as TITLE fields and their text; ids as page_id."""
+
+    def make() -> Index:
+        html = F.col("html")
+        own = table(spark, sf_dir, "pages").select("page_id", pages.title(html).alias("title"), pages.plain_text(html).alias("body"))
+        return build_index(own, "page_id", "body", fields={"TITLE": F.col("title")}).persist()
+
+    return _memo(spark, sf_dir, "tagged", make)
+
+
+def meta(spark: SparkSession, sf_dir: str) -> Index:
+    """The documents' LANG and SOURCE fields, and `n_chars=`, `quality=` and `toxic=` terms."""
+
+    def make() -> Index:
+        docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+        return build_index(
+            docs,
+            "doc_id",
+            None,
+            fields={"LANG": F.col("lang"), "SOURCE": F.col("source")},
+            metas={name: F.col(name) for name in ("n_chars", "quality", "toxic")},
+        ).persist()
+
+    return _memo(spark, sf_dir, "meta", make)
+
+
+def dictionary(spark: SparkSession, sf_dir: str, make: Callable[[SparkSession, str], Index]) -> DataFrame:
+    return _memo(spark, sf_dir, f"dictionary-{make.__name__}", lambda: make(spark, sf_dir).dictionary.persist())
+
+
+# --- index and dictionary --------------------------------------------------------------------------
+
+
+@register("idx_postings", f"WITH {O.WORDS} SELECT term, page_id FROM postings")
+def idx_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).postings.select("term", "page_id")
+
+
+@register("idx_word_count", f"WITH {O.WORDS} SELECT count(DISTINCT term)::BIGINT AS words FROM postings")
+def idx_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).postings.agg(F.countDistinct("term").alias("words"))
+
+
+@register("idx_term_df", f"WITH {O.WORDS} SELECT term, count(DISTINCT page_id)::BIGINT AS df FROM postings GROUP BY term")
+def idx_term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).dictionary.select("term", "df")
+
+
+@register("idx_indexed_pages", f"WITH {O.WORDS} SELECT DISTINCT page_id FROM postings")
+def idx_indexed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).indexed_pages()
+
+
+@register("idx_meta_terms", f"WITH {O.META} SELECT term, page_id FROM postings")
+def idx_meta_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta(spark, sf_dir).postings.select("term", "page_id")
+
+
+@register("idx_page_terms", f"WITH {O.TAGGED} SELECT term, page_id FROM postings")
+def idx_page_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagged(spark, sf_dir).postings.select("term", "page_id")
+
+
+@register(
+    "idx_conversation_fields",
+    """SELECT DISTINCT 'ROLE:' || w AS term, conv_id AS page_id
+       FROM (SELECT conv_id, unnest(regexp_extract_all(role, '[\\p{L}\\p{N}]+')) AS w FROM conversations) WHERE strlen('ROLE:' || w) <= 63""",
+)
+def idx_conversation_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations")
+    return page_terms(own, "conv_id", None, fields={"ROLE": F.col("role")}).select("term", "page_id").distinct()
+
+
+@register(
+    "idx_stats",
+    f"""WITH {O.WORDS} SELECT count(*)::BIGINT AS words, sum(n)::BIGINT AS postings, sum(strlen(term))::BIGINT AS term_bytes,
+        (SELECT count(DISTINCT page_id) FROM postings)::BIGINT AS pages FROM (SELECT term, count(*) AS n FROM postings GROUP BY term)""",
+)
+def idx_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).stats()
+
+
+@register("is_indexed", f"WITH {O.WORDS} SELECT x::BIGINT AS page_id, x IN (SELECT page_id FROM postings) AS indexed FROM range(-5, 2000) t(x)")
+def is_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).is_indexed(spark.range(-5, 2000).select(F.col("id").alias("page_id")))
+
+
+# --- match modes -----------------------------------------------------------------------------------
+
+
+def _find(name: str, text: str, mode: str, sensitive: bool, field: str | None = None, make=words, ctes: str = O.WORDS) -> None:
+    own, query = ("value" if field else "term"), text.replace("'", "''")
+    left, right = (own, f"'{query}'") if sensitive else (f"lower({own})", f"lower('{query}')")
+    test = {"exact": f"{left} = {right}", "prefix": f"starts_with({left}, {right})", "infix": f"contains({left}, {right})"}[mode]
+    scope = f"field = '{field}' AND " if field else ""
+    register(name, f"WITH {ctes}, {O.PARTS} SELECT DISTINCT page_id FROM parts WHERE {scope}{test}")(
+        lambda spark, sf_dir: S.find(make(spark, sf_dir), text, mode, sensitive, field)
+    )
+
+
+for _mode, _text in (("exact", "than"), ("prefix", "than"), ("infix", "eder")):
+    _find(f"find_{_mode}_cs", _text, _mode, True)
+    _find(f"find_{_mode}_ci", _text.capitalize(), _mode, False)
+_find("find_infix_accent", "CIÓN", "infix", False)
+_find("find_short_the", "the", "exact", True)
+for _mode, _text in (("exact", "Than"), ("prefix", "Th"), ("infix", "an")):
+    _find(f"field_{_mode}_cs", _text, _mode, True, "TITLE", tagged, O.TAGGED)
+    _find(f"field_{_mode}_ci", _text, _mode, False, "TITLE", tagged, O.TAGGED)
+_find("field_lang", "DE", "exact", False, "LANG", meta, O.META)
+_find("field_source_prefix", "src1", "prefix", True, "SOURCE", meta, O.META)
+_find("meta_eq_cs", "quality=1", "exact", True, None, meta, O.META)
+_find("meta_eq_ci", "Quality=1", "exact", False, None, meta, O.META)
+
+
+def _number(name: str, meta_name: str, sign: str, bound: str, sensitive: bool, limit: str | None) -> None:
+    left, right = ("meta_name", f"'{meta_name}'") if sensitive else ("lower(meta_name)", f"lower('{meta_name}')")
+    test = f"meta_num {sign} {limit}" if limit is not None else "false"
+    register(name, f"WITH {O.META}, {O.PARTS} SELECT DISTINCT page_id FROM parts WHERE {left} = {right} AND {test}")(
+        lambda spark, sf_dir: S.find_number(meta(spark, sf_dir), meta_name, sign, bound, sensitive)
+    )
+
+
+_number("meta_gt", "n_chars", ">", "3000", True, "3000")
+_number("meta_lt", "n_chars", "<", "500", True, "500")
+_number("meta_gt_ci", "N_Chars", ">", "3000", False, "3000")
+_number("meta_lt_ci", "N_CHARS", "<", "500", False, "500")
+_number("meta_gt_trailing", "n_chars", ">", "1200x", True, "1200")
+_number("meta_gt_zero", "toxic", ">", "0", True, "0")
+_number("meta_negative", "n_chars", ">", "-7", True, "-7")
+_number("meta_no_number", "n_chars", ">", "abc", True, None)
+_number("meta_minus_zero", "n_chars", ">", "-0", True, None)
+
+
+# stored values that the tables do not hold: negative, fractional, text
+_STORED = [("t=-5", 1), ("t=3.14", 2), ("t=7", 3), ("t=1e2", 4), ("t=", 5), ("t=-12", 6), ("T=9", 7), ("t=007", 8)]
+_STORED_SQL = "postings AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {p}::BIGINT)" for t, p in _STORED) + ") v(term, page_id))"
+
+
+def _stored(name: str, sign: str, bound: str, sensitive: bool, limit: int) -> None:
+    left, right = ("meta_name", "'t'") if sensitive else ("lower(meta_name)", "'t'")
+    register(name, f"WITH {_STORED_SQL}, {O.PARTS} SELECT DISTINCT page_id FROM parts WHERE {left} = {right} AND meta_num {sign} {limit}")(
+        lambda spark, sf_dir: S.find_number(Index.of(spark.createDataFrame(_STORED, "term string, page_id bigint")), "t", sign, bound, sensitive)
+    )
+
+
+_stored("meta_stored_gt", ">", "-7", True, -7)
+_stored("meta_stored_lt", "<", "+7", True, 7)
+_stored("meta_stored_ci", ">", "0", False, 0)
+
+
+@register("find_all", f"WITH {O.WORDS} SELECT DISTINCT page_id FROM postings")
+def find_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).indexed_pages()
+
+
+# --- query compilation -----------------------------------------------------------------------------
+
+_RAW = [
+    "+than", "-eder", "tion", "Than", "'Than'", '"than"', "`than", "+'than\"", "the", "+the", "TITLE:an", "TITLE:than", "TITLE:Than", "KEYWORDS:word",
+    "DESCRIPTION:word", "name=value", "+n>12x", "n<-5", "n>0", "n>abc", "n>-0", "*", "", "+", "-", "'", "\"\"", " than ", "ção", "ÉTÉ", "=x", ":x", "a=b:c", "-\"Foo bar\"",
+]
+
+
+def raw_terms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, k, raw) for k, raw in enumerate(_RAW)], QUERY_TERMS)
+
+
+_COMPILED = ["query_id", "ord", "occ", "text", "field", "value", "kind", "mode", "name", "bound", "weight", "signed"]
+
+
+def _compile(name: str, options: SearchOptions, weak: list[str] | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        weak_words = spark.createDataFrame([(w,) for w in weak], "word string") if weak else None
+        return compile_terms(raw_terms(spark), options, weak_words).select(_COMPILED)
+
+    register(name, f"WITH {O.raw_values([(0, k, r) for k, r in enumerate(_RAW)])}, {O.compiled(options, weak)} SELECT {', '.join(_COMPILED)} FROM compiled")(run)
+
+
+_compile("compile_terms", SearchOptions())
+_compile("compile_sensitive", SearchOptions(case="sensitive"))
+_compile("compile_insensitive", SearchOptions(case="insensitive", exact_size=0))
+_compile("compile_all_whole", SearchOptions(all_terms=True, whole_words=True))
+_compile("weak_words", SearchOptions(), ["than", "The", "word"])
+
+
+@register("dequote", f"SELECT k, trim(regexp_replace(raw, {O.QUOTES}, '', 'g')) AS text FROM ({O.raw_values([(0, k, r) for k, r in enumerate(_RAW)], 'k')})")
+def dequote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_terms(spark).select(F.col("ord").alias("k"), T.dequote(F.col("raw")).alias("text"))
+
+
+# --- search and ranking ----------------------------------------------------------------------------
+
+_RESULT = ["query_id", "page_id", "score", "position", "quality_pct"]
+
+
+def _search(name: str, queries: list[list[str]], options: SearchOptions | None = None, make=words, ctes: str = O.WORDS, limit: int = -1) -> None:
+    options = options or SearchOptions()
+    rows = [(q, k, raw) for q, terms in enumerate(queries) for k, raw in enumerate(terms)]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        terms = spark.createDataFrame(rows, QUERY_TERMS)
+        return S.search(make(spark, sf_dir), terms, options, limit=limit, dictionary=dictionary(spark, sf_dir, make)).select(_RESULT)
+
+    top = f"WHERE position < {limit}" if limit >= 0 else ""
+    register(name, f"WITH {ctes}, {O.PARTS}, {O.raw_values(rows)}, {O.compiled(options)}, {O.RANKED} SELECT {', '.join(_RESULT)} FROM results {top}")(run)
+
+
+_search("search_flagship", [["+than", "tion", "-eder"]])
+_search("bool_or", [["than", "tion", "eder", "lich"]])
+_search("bool_and", [["+than", "+tion", "+the"]])
+_search("bool_not", [["-eder"]])
+_search("bool_all_but", [["*", "-eder"]])
+_search("bool_mandatory_missing", [["+zzzzqqq", "than"], ["+than"]])
+_search("rank_duplicate_terms", [["than", "than"]])
+_search("rank_topk", [["than", "tion"], ["eder", "lich"]], limit=10)
+_search("search_right_partial", [["+than", "tion"]], SearchOptions(right_partial_only=True))
+_search("search_case", [["than", "Than"]], SearchOptions(case="sensitive"))
+_search("search_all_terms", [["than", "tion", "the"]], SearchOptions(all_terms=True))
+_search("search_whole_words", [["than", "tion", "the"]], SearchOptions(whole_words=True))
+_search("quality_pct", [["than", "tion", "eder", "lich", "the", "*"]])
+_search("search_fields", [["TITLE:than", "+than"], ["TITLE:'The'", "the"], ["title:than"]], make=tagged, ctes=O.TAGGED)
+_search("field_base_union", [["than", "TITLE:than"], ["Than", "TITLE:than"]], make=tagged, ctes=O.TAGGED)
+_search("search_metas", [["n_chars>3000", "+quality=1"], ["toxic=1", "-LANG:de"], ["SOURCE:src1", "+n_chars<500"], ["n_chars>abc"]], make=meta, ctes=O.META)
+
+# eleven title terms pass a missing mandatory term's hundred
+_SOFT = [f"TITLE:soft{k}" for k in range(11)]
+_SOFT_ROWS = [(t, 1) for t in _SOFT] + [("must", 2), (_SOFT[0], 2), ("must", 3), ("gone", 3)] + [(t, 3) for t in _SOFT[:3]]
+_SOFT_QUERY = [(0, k, raw) for k, raw in enumerate(["+must", "-gone", *_SOFT])]
+_SOFT_SQL = "postings AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {p}::BIGINT)" for t, p in _SOFT_ROWS) + ") v(term, page_id))"
+
+
+@register("bool_soft_and", f"WITH {_SOFT_SQL}, {O.PARTS}, {O.raw_values(_SOFT_QUERY)}, {O.compiled(SearchOptions())}, {O.RANKED} SELECT {', '.join(_RESULT)} FROM results")
+def bool_soft_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = Index.of(spark.createDataFrame(_SOFT_ROWS, "term string, page_id bigint"))
+    return S.search(index, spark.createDataFrame(_SOFT_QUERY, QUERY_TERMS)).select(_RESULT)
+
+
+_BATCH_SQL = """query_terms AS (SELECT item_id::INTEGER AS query_id, (i - 1)::INTEGER AS ord, w[i] AS raw
+  FROM (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w FROM benchmark), range(1, 4) t(i) WHERE i <= len(w))"""
+
+
+def batch_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three words of every benchmark item as a query."""
+    first = F.slice(T.tokens(F.col("text")), 1, 3)
+    own = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.posexplode(first).alias("ord", "raw"))
+    return own.select("query_id", "ord", "raw")
+
+
+@register("search_batch", f"WITH {O.WORDS}, {O.PARTS}, {_BATCH_SQL}, {O.compiled(SearchOptions())}, {O.RANKED} SELECT {', '.join(_RESULT)} FROM results WHERE position < 50")
+def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.search(words(spark, sf_dir), batch_terms(spark, sf_dir), limit=50, dictionary=dictionary(spark, sf_dir, words)).select(_RESULT)
+
+
+@register(
+    "result_rows",
+    f"""WITH {O.TAGGED}, {O.PARTS}, {O.raw_values([(0, 0, "than"), (0, 1, "TITLE:than")])}, {O.compiled(SearchOptions())}, {O.RANKED}
+        SELECT position + 1 AS shown_index, r.page_id, p.url, regexp_extract(p.html, '(?s)<title>(.*?)</title>', 1) AS title, strlen(p.html)::BIGINT AS size, quality_pct
+        FROM results r JOIN pages p ON r.page_id = p.page_id WHERE position < 10""",
+)
+def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.search(tagged(spark, sf_dir), ["than TITLE:than"], limit=10, dictionary=dictionary(spark, sf_dir, tagged))
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    own = table(spark, sf_dir, "pages").select("page_id", "url", title.alias("title"), F.octet_length("html").cast("bigint").alias("size"))
+    return S.render(found, own).select("shown_index", "page_id", "url", "title", "size", "quality_pct")
+
+
+# --- maintenance -----------------------------------------------------------------------------------
+
+
+def _replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages divisible by 7 come again with the text of their successor."""
+    docs = table(spark, sf_dir, "documents")
+    again = docs.filter("doc_id % 7 = 1").select((F.col("doc_id") - 1).alias("doc_id"), "text")
+    return page_terms(again, "doc_id", "text")
+
+
+def _replaced(spark: SparkSession, sf_dir: str) -> Index:
+    return words(spark, sf_dir).replace_pages(_replacement(spark, sf_dir))
+
+
+_AGAIN = f"""{O.WORDS}, again AS (SELECT DISTINCT term, page_id FROM (SELECT doc_id - 1 AS page_id, {O.UNNEST} AS term FROM documents WHERE doc_id % 7 = 1)
+  WHERE strlen(term) BETWEEN 1 AND 63), known AS (SELECT DISTINCT page_id FROM again WHERE page_id IN (SELECT page_id FROM postings))"""
+
+
+@register("upd_pending_visible", f"WITH {_AGAIN} SELECT term, page_id, 0 AS gen FROM postings UNION SELECT term, page_id, CASE WHEN page_id IN (SELECT page_id FROM known) THEN 1 ELSE 0 END FROM again")
+def upd_pending_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replaced(spark, sf_dir).postings.select("term", "page_id", "gen")
+
+
+@register("upd_purged", f"WITH {_AGAIN} SELECT term, page_id FROM postings WHERE page_id NOT IN (SELECT page_id FROM known) UNION SELECT term, page_id FROM again")
+def upd_purged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replaced(spark, sf_dir).purge().postings.select("term", "page_id")
+
+
+@register("upd_settled", f"WITH {_AGAIN}, kept AS (SELECT term, page_id FROM postings WHERE page_id NOT IN (SELECT page_id FROM known) UNION SELECT term, page_id FROM again), "
+          "both_ AS (SELECT term, page_id FROM postings UNION SELECT term, page_id FROM again) "
+          "SELECT count(*)::BIGINT AS rows FROM (SELECT * FROM kept WHERE (SELECT count(*) FROM known) > 100 UNION ALL SELECT * FROM both_ WHERE (SELECT count(*) FROM known) <= 100)")
+def upd_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replaced(spark, sf_dir).settled().postings.select("term", "page_id").distinct().agg(F.count("*").alias("rows"))
+
+
+@register("del_pages", f"WITH {O.WORDS} SELECT term, page_id FROM postings WHERE page_id % 5 <> 0")
+def del_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "documents").filter("doc_id % 5 = 0").select(F.col("doc_id").alias("page_id"))
+    return words(spark, sf_dir).delete_pages(gone).purge().postings.select("term", "page_id")
+
+
+@register("stop_exact", f"WITH {O.TAGGED}, {O.PARTS} SELECT term, page_id FROM parts WHERE value NOT IN ('the', 'The') AND term NOT IN ('the', 'The')")
+def stop_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagged(spark, sf_dir).remove_words(["the", "The"]).postings.select("term", "page_id")
+
+
+@register("stop_field", f"WITH {O.META}, {O.PARTS} SELECT term, page_id FROM parts WHERE term <> 'LANG:en' AND value <> 'LANG:en'")
+def stop_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta(spark, sf_dir).remove_words(["LANG:en"]).postings.select("term", "page_id")
+
+
+@register("stop_regexp", f"WITH {O.TAGGED}, {O.PARTS} SELECT term, page_id FROM parts WHERE NOT regexp_full_match(value, 'th.*|[0-9]+')")
+def stop_regexp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagged(spark, sf_dir).remove_words(["th.*", "[0-9]+"], regexp=True).postings.select("term", "page_id")
+
+
+@register(
+    "merge_disp",
+    f"""WITH {O.WORDS}, other AS (SELECT DISTINCT term, page_id FROM (SELECT conv_id AS page_id, {O.UNNEST} AS term FROM conversations) WHERE strlen(term) BETWEEN 1 AND 63)
+        SELECT term, page_id FROM postings UNION SELECT term, page_id + 1000000 FROM other WHERE page_id % 2 = 0""",
+)
+def merge_disp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    other = Index.of(page_terms(talks, "conv_id", "text"))
+    disp = talks.filter("conv_id % 2 = 0").select(F.col("conv_id").alias("old_id"), (F.col("conv_id") + 1000000).alias("new_id")).distinct()
+    return words(spark, sf_dir).merge(other, disp).postings.select("term", "page_id")
+
+
+@register("remove_all", "SELECT 0::BIGINT AS rows")
+def remove_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Index.empty(spark).postings.agg(F.count("*").alias("rows"))
+
+
+# --- files -----------------------------------------------------------------------------------------
+
+_LINES = ["alpha 1 3 5-8", "", "beta 2", "gamma 1 x 3", "delta 4-4 9", "alpha 2 5", "lonely", "eps 10-12 1-2", "bad 3-", "  ", "zeta 7-5"]
+
+
+@register(
+    "io_load_text",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {p}::BIGINT)" for t, ps in (("alpha", (1, 2, 3, 5, 6, 7, 8)), ("beta", (2,)), ("delta", (4, 9)), ("eps", (1, 2, 10, 11, 12))) for p in ps) + ") v(term, page_id)",
+)
+def io_load_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.parse_text(spark.createDataFrame([(x,) for x in _LINES], "value string"))
+
+
+@register("io_dump_text", f"WITH {O.WORDS} SELECT term || ' ' || string_agg(page_id::VARCHAR, ' ' ORDER BY page_id) AS value FROM postings GROUP BY term")
+def io_dump_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.dump_text(words(spark, sf_dir))
+
+
+@register(
+    "io_runs",
+    f"""WITH {O.WORDS} SELECT term, min(page_id) AS first_page, max(page_id) AS last_page
+        FROM (SELECT term, page_id, page_id - row_number() OVER (PARTITION BY term ORDER BY page_id) AS island FROM postings) GROUP BY term, island""",
+)
+def io_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.posting_runs(words(spark, sf_dir).postings)
+
+
+@register("io_round_trip", f"WITH {O.WORDS} SELECT term, page_id FROM postings")
+def io_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.parse_text(files.dump_text(words(spark, sf_dir), runs=True))
+
+
+# --- statistics and small functions ----------------------------------------------------------------
+
+_METRICS = [("exact_cs", 10, 200, 50), ("exact_ci", 4, 80, 20), ("partial_cs", 7, 0, 0), ("partial_ci", 30, 1000, 900)]
+
+
+@register("stats_cache", "SELECT 51::BIGINT AS size, 1280::BIGINT AS requests, 970::BIGINT AS hits, 35.0::DOUBLE AS hitrate")
+def stats_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.cache_stats(spark.createDataFrame(_METRICS, "level string, size int, requests int, hits int"))
+
+
+@register("rpm_events", "SELECT date_trunc('minute', ts) AS minute, count(*)::BIGINT AS requests FROM events GROUP BY 1")
+def rpm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.ingest import requests_per_minute
+
+    return requests_per_minute(table(spark, sf_dir, "events"))
+
+
+@register("url_param", "SELECT page_id, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page, regexp_extract(url, '[?&]id=([^&#]*)', 1) AS id FROM pages")
+def url_param(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", T.url_parameter(url, "page").alias("page"), T.url_parameter(url, "id").alias("id"))
+
+
+@register("xml_path", "SELECT user_id, event_type AS kind, k, '' AS missing FROM (SELECT DISTINCT user_id, event_type, props::JSON->>'k' AS k FROM events)")
+def xml_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k")).distinct()
+    xml = F.concat(F.lit("<e><kind>"), "event_type", F.lit("</kind><p><k>"), "k", F.lit("</k></p></e>"))
+    return own.select("user_id", *[T.xml_path(xml, p).alias(n) for n, p in (("kind", "/e/kind"), ("k", "/e/p/k"), ("missing", "/e/q"))])
+
+
+@register(
+    "entity_decode",
+    """SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS decoded,
+       replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS encoded FROM (SELECT page_id, substr(html, 1, 400) || '&amp;lt; &lt;b&gt; &quot;x&apos;' AS t FROM pages)""",
+)
+def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.substring("html", 1, 400), F.lit("&amp;lt; &lt;b&gt; &quot;x&apos;"))
+    return table(spark, sf_dir, "pages").select("page_id", T.decode_entities(t).alias("decoded"), T.encode_entities(t).alias("encoded"))
+
+
+@register("page_titles", f"SELECT page_id, {O.decode(O.TITLE)} AS title FROM pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", pages.title(F.col("html")).alias("title"))
+
+
+# --- page directives and redirects -----------------------------------------------------------------
+
+_HTML = [
+    (1, '<html><title>One</title><meta name="Author" content="A B"><meta http-equiv="User Name" content="John Doe">alpha</html>'),
+    (2, '<html><meta http-equiv="robot" content="skip">beta</html>'),
+    (3, '<html><meta http-equiv="Robot" content="skipmeta skiplinks">gamma <robot skip>hidden</robot> shown</html>'),
+    (4, '<html><title>Four &amp; more</title><meta name="robot" content="skiptext">delta</html>'),
+    (5, "<html><!-- note -->eps<script>x()</script> zeta</html>"),
+]
+
+
+def _html(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_HTML, "page_id bigint, html string")
+
+
+@register(
+    "page_metas",
+    "SELECT * FROM (VALUES (1::BIGINT, 'Author', 'A B'), (1, 'User Name', 'John Doe'), (2, 'robot', 'skip'), (3, 'Robot', 'skipmeta skiplinks'), (4, 'robot', 'skiptext')) v(page_id, name, content)",
+)
+def page_metas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.metas(_html(spark))
+
+
+@register(
+    "skip_directives",
+    "SELECT * FROM (VALUES (1::BIGINT, 'One', 'One alpha'), (3, '', 'gamma shown'), (4, 'Four & more', ''), (5, '', 'eps zeta')) v(page_id, title, text)",
+)
+def skip_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.indexable(_html(spark), "robot").select("page_id", "title", "text")
+
+
+_EDGES = [("r1", "http://elsewhere/"), ("r2", "r2"), ("r3", "../index"), ("r4", "r5"), ("r5", "r6"), ("r6", "r4"), ("a", "b"), ("b", "c"), ("c", "r3")]
+
+
+@register(
+    "redirect_resolve",
+    "WITH RECURSIVE e(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + """),
+      walk(src, target, hops, seen) AS (SELECT src, dst, 1, [src] FROM e
+        UNION ALL SELECT w.src, e.dst, w.hops + 1, list_append(w.seen, w.target) FROM walk w JOIN e ON w.target = e.src WHERE NOT list_contains(w.seen, w.target) AND w.hops < 20)
+      SELECT src, CASE WHEN list_contains(seen, target) THEN NULL ELSE target END AS target, hops FROM walk
+      WHERE list_contains(seen, target) OR target NOT IN (SELECT src FROM e)""",
+)
+def redirect_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.resolve_redirects(spark.createDataFrame(_EDGES, "src string, dst string"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return QUERIES["search_flagship"](spark, sf_dir)
