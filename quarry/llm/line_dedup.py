@@ -143,6 +143,8 @@ def banded_distance(pairs: list[tuple[bytes, bytes]], most: int) -> np.ndarray:
 
 def _banded(work: list, most: int, out: np.ndarray) -> None:
     n = np.array([w[0] for w in work])
+    where = np.array([w[1] for w in work])
+    over = np.array([len(w[2]) for w in work]) - n
     width = int(n[0])
     a = np.full((len(work), width + 3 * most + 2), 256, np.uint16)
     b = np.full((len(work), width), 257, np.uint16)
@@ -154,28 +156,33 @@ def _banded(work: list, most: int, out: np.ndarray) -> None:
     vp = np.full(len(work), ((1 << (most + 1)) - 1) << most, np.uint32)
     vn = np.zeros(len(work), np.uint32)
     distance = np.zeros(len(work), np.int64)
-    live = len(work)
     for j in range(1, width + 1):
-        while live and n[live - 1] < j:
-            live -= 1
-        p, q = vp[:live], vn[:live]
-        match = np.zeros(live, np.uint32)
+        match = np.zeros(len(n), np.uint32)
         for r in range(rows):
-            match |= (a[:live, j - 1 + r] == b[:live, j - 1]).astype(np.uint32) << np.uint32(r)
-        zero = (((match & p) + p) ^ p) | match | q
-        zero &= mask
-        across_up = (q | ~(zero | p)) & mask
-        across_down = zero & p
-        distance[:live] += 1 - (zero >> np.uint32(most) & np.uint32(1)).astype(np.int64)
+            match |= (a[:, j - 1 + r] == b[:, j - 1]).astype(np.uint32) << np.uint32(r)
+        zero = ((((match & vp) + vp) ^ vp) | match | vn) & mask
+        across_up = (vn | ~(zero | vp)) & mask
+        across_down = zero & vp
+        distance += 1 - (zero >> np.uint32(most) & np.uint32(1)).astype(np.int64)
         below = zero >> np.uint32(1)
-        vp[:live] = (across_down | ~(below | across_up)) & mask
-        vn[:live] = below & across_up
-    for k, (_, where, x, y) in enumerate(work):
-        d = int(distance[k])
-        for r in range(most, most + len(x) - len(y)):
-            d += int(vp[k]) >> r & 1
-            d -= int(vn[k]) >> r & 1
-        out[where] = min(d, most + 1)
+        vp = (across_down | ~(below | across_up)) & mask
+        vn = below & across_up
+        # the longest come first, so the pairs that end here are the last ones
+        live = len(n)
+        while live and n[live - 1] == j:
+            live -= 1
+        if live < len(n):
+            last = distance[live:].copy()
+            for r in range(most):
+                inside = r < over[live:]
+                last += np.where(inside, (vp[live:] >> np.uint32(most + r) & np.uint32(1)).astype(np.int64) - (vn[live:] >> np.uint32(most + r) & np.uint32(1)).astype(np.int64), 0)
+            out[where[live:]] = np.minimum(last, most + 1)
+        # no cell of a column's band is more than `most` below the diagonal one, which never falls
+        keep = np.flatnonzero(distance[:live] <= 2 * most) if j % 4 == 0 or live < len(n) else None
+        if keep is not None and len(keep) < len(n):
+            if not len(keep):
+                return
+            a, b, vp, vn, distance, n, where, over = (x[keep] for x in (a, b, vp, vn, distance, n, where, over))
 
 
 def forest(texts: list[bytes], index: np.ndarray) -> list[tuple[int, int]]:
@@ -217,6 +224,32 @@ def _distinct_lines(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start[first], (end - start)[first], h
 
 
+def _rows(h: np.ndarray, pairs: list[tuple[int, int]]) -> list[pa.RecordBatch]:
+    found = spanning(pairs)
+    if not found:
+        return []
+    i, j = np.array(found).T
+    return [pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(h[j])], ["a", "b"])]
+
+
+def _settle(groups: list[tuple[np.ndarray, list[bytes], list[tuple[int, int]]]]) -> list[pa.RecordBatch]:
+    """The links of small groups, (hashes, texts, pairs to verify) each."""
+    asked = [(text[i], text[j]) for _, text, pairs in groups for i, j in pairs]
+    if not asked:
+        return []
+    d = banded_distance(asked, MOST)
+    most = allowed(np.array([min(len(x), len(y)) for x, y in asked]))
+    close = (d <= most).tolist()
+    at, a, b = 0, [], []
+    for h, _, pairs in groups:
+        own = [p for p, yes in zip(pairs, close[at : at + len(pairs)], strict=True) if yes]
+        at += len(pairs)
+        for i, j in spanning(own):
+            a.append(int(h[i]))
+            b.append(int(h[j]))
+    return [pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])] if a else []
+
+
 def links(texts: DataFrame) -> DataFrame:
     """(a, b): links among the hashes of distinct lines of `text` that join all that are close."""
     parts = parts_for(texts, "text", 60)
@@ -283,6 +316,8 @@ def links(texts: DataFrame) -> DataFrame:
                     )
 
     def verify(batches):
+        held: list[tuple[np.ndarray, list[bytes], list[tuple[int, int]]]] = []
+        waiting = 0
         for table in sorted_groups(batches):
             h = np.concatenate([b.column(1).to_numpy() for b in table])
             h, first = np.unique(h, return_index=True)
@@ -290,10 +325,20 @@ def links(texts: DataFrame) -> DataFrame:
                 continue
             index = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in table])[first]
             text = pa.chunked_array([b.column(3) for b in table]).take(pa.array(first)).to_pylist()
-            found = spanning(forest(text, index))
-            if found:
-                i, j = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(h[j])], ["a", "b"])
+            if len(h) > 8:
+                yield from _rows(h, forest(text, index))
+                continue
+            # the pairs of small groups are verified many groups at a time
+            length = np.array([len(t) for t in text])
+            t = allowed(length)
+            i, j = np.nonzero(np.triu(np.abs(length[:, None] - length) <= np.minimum(t[:, None], t), 1) & (index[:, None] | index))
+            if len(i):
+                held.append((h, text, list(zip(i.tolist(), j.tolist(), strict=True))))
+                waiting += len(i)
+            if waiting >= 4000:
+                yield from _settle(held)
+                held, waiting = [], 0
+        yield from _settle(held)
 
     sent = texts.mapInArrow(members, "key long, line long, indexed boolean, text binary")
     return sent.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
