@@ -34,7 +34,7 @@ from .textvec import U64, Chunk, chunks, join2
 END_TOKEN = U64(0x6C62272E07BB0142)
 START = U64(0x27D4EB2F165667C5) >> U64(24)
 #: Training tokens for each range of keys, and distinct bigrams that a task holds before it ships them.
-TOKENS_PER_RANGE, HELD = 4_000_000, 1_500_000
+TOKENS_PER_RANGE, HELD = 2_000_000, 700_000
 
 
 # --- tokens and keys -------------------------------------------------------------------------------
