@@ -37,18 +37,36 @@ def allowed(length: np.ndarray) -> np.ndarray:
     return (length >= LIMITS[0]).astype(np.int64) + (length >= LIMITS[1])
 
 
-def lines(c: Chunk) -> tuple[np.ndarray, ...]:
-    """Row, number in the row, start, end and hash of each line that has a word, without white space at its ends."""
+def trimmed(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each line that has a word, without white space at its ends."""
     start, end = c.pieces(c.data == 10)
-    full = ~SPACE[c.data]
+    blank = SPACE[c.data]
+    start, end = start.copy(), end.copy()
+    for side, step in ((start, 1), (end, -1)):
+        at = np.arange(len(start))
+        for _ in range(64):
+            at = at[(start[at] < end[at])]
+            at = at[blank[side[at] - (step < 0)]]
+            if not len(at):
+                break
+            side[at] += step
+        else:  # long runs of white space: look the next word up
+            words = np.flatnonzero(~blank)
+            if step > 0:
+                side[at] = np.minimum(np.append(words, len(blank))[np.searchsorted(words, side[at])], end[at])
+            else:
+                side[at] = np.maximum(np.append(words, -1)[np.searchsorted(words, side[at]) - 1] + 1, start[at])
+    has = end > start
+    return start[has], end[has]
+
+
+def lines(c: Chunk) -> tuple[np.ndarray, ...]:
+    """Row, number in the row, start, end and hash of each line that has a word."""
+    start, end = trimmed(c)
     row = np.searchsorted(c.offsets, start, "right") - 1
-    breaks = np.concatenate([[0], np.cumsum(c.data == 10)])
-    number = breaks[start] - breaks[c.offsets[row]]
-    words = np.flatnonzero(full)
-    a, b = np.searchsorted(words, start), np.searchsorted(words, end)
-    has = b > a
-    start, end = words[a[has]], words[b[has] - 1] + 1
-    return row[has], number[has], start, end, c.hashes(start, end)
+    breaks = np.flatnonzero(c.data == 10)
+    number = np.searchsorted(breaks, start) - np.searchsorted(breaks, c.offsets[row])
+    return row, number, start, end, c.hashes(start, end)
 
 
 class Substrings:
@@ -59,6 +77,10 @@ class Substrings:
         self.total = np.zeros(len(c.data) + 1, U64)
         np.cumsum((c.data.astype(U64) + U64(1)) * up[: len(c.data)], out=self.total[1:])
 
+    def whole(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """As Chunk.hashes gives them."""
+        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(U64))
+
     def keys(self, start: np.ndarray, size: np.ndarray, length: np.ndarray, segment: int) -> np.ndarray:
         h = (self.total[start + size] - self.total[start]) * self.down[start]
         return mix(h ^ mix(length.astype(U64) * U64(8) + U64(segment)))
@@ -217,11 +239,12 @@ def forest(texts: list[bytes], index: np.ndarray) -> list[tuple[int, int]]:
 # --- the join --------------------------------------------------------------------------------------
 
 
-def _distinct_lines(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and hash of the chunk's distinct lines."""
-    _, _, start, end, h = lines(c)
-    h, first = np.unique(h, return_index=True)
-    return start[first], (end - start)[first], h
+def _distinct_lines(c: Chunk) -> tuple[Substrings, np.ndarray, np.ndarray, np.ndarray]:
+    """The chunk's substrings, and start, length and hash of its distinct lines."""
+    start, end = trimmed(c)
+    sub = Substrings(c)
+    h, first = np.unique(sub.whole(start, end), return_index=True)
+    return sub, start[first], (end - start)[first], h
 
 
 def _rows(h: np.ndarray, pairs: list[tuple[int, int]]) -> list[pa.RecordBatch]:
@@ -258,8 +281,8 @@ def links(texts: DataFrame) -> DataFrame:
         shipper = Shipper(parts)
         for batch in batches:
             for c in chunks(batch.column(0)):
-                start, length, h = _distinct_lines(c)
-                for of, key in index_keys(Substrings(c), start, length):
+                sub, start, length, h = _distinct_lines(c)
+                for of, key in index_keys(sub, start, length):
                     yield from shipper.add(key, h[of])
         yield from shipper.ship()
 
@@ -270,8 +293,7 @@ def links(texts: DataFrame) -> DataFrame:
         shipper = Shipper(parts)
         for batch in batches:
             for c in chunks(batch.column(0)):
-                start, length, h = _distinct_lines(c)
-                sub = Substrings(c)
+                sub, start, length, h = _distinct_lines(c)
                 own = np.unique(np.concatenate([key for _, key in index_keys(sub, start, length)] or [np.zeros(0, U64)]))
                 probes = np.concatenate([key for _, key in probe_keys(sub, start, length)] or [np.zeros(0, U64)])
                 probes, times = np.unique(probes, return_counts=True)
@@ -289,8 +311,7 @@ def links(texts: DataFrame) -> DataFrame:
     def members(batches):
         for batch in batches:
             for c in chunks(batch.column(0)):
-                start, length, h = _distinct_lines(c)
-                sub = Substrings(c)
+                sub, start, length, h = _distinct_lines(c)
                 which, keys, index = [], [], []
                 for is_index, found in ((True, index_keys(sub, start, length)), (False, probe_keys(sub, start, length))):
                     for of, key in found:
