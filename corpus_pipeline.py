@@ -21,8 +21,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, linked at a similarity of about 0.8."""
-    return simhash.keep_first(docs, shingle=5, distance=10, extra=2, more_distance=32)
+    """One document of each group stays: five-word shingles, linked at a similarity of 0.8 or more.
+
+    Pairs of that similarity differ in up to 14 of 64 bits and in up to 26 of 128 further ones.
+    """
+    return simhash.keep_first(docs, shingle=5, distance=14, extra=2, more_distance=26)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
