@@ -20,8 +20,8 @@ from .simhash import sorted_groups
 from .textvec import U64
 
 BLOCK = "part int, keys binary, owners binary"
-HELD = 1_500_000
-KEYS_PER_RANGE = 4_000_000
+HELD = 800_000
+KEYS_PER_RANGE = 2_000_000
 
 _OPEN: dict[str, np.ndarray | None] = {}
 
