@@ -114,9 +114,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     document and keep the same units; an empty table gives no rows.
     """
     found = cut(repeated_units(docs, id_col, text_col), "units")
-    earliest = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n"))
+    # written, so that the join below reads both sides plainly and a hot unit's rows can be split
+    earliest = cut(found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "earliest")
     later = (
-        found.join(earliest.filter("n > 1"), ["h1", "h2"])
+        found.join(earliest, ["h1", "h2"])
         .filter(~F.struct("doc_id", "unit").eqNullSafe(F.col("first")))
         .select("doc_id", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc"))
         .dropDuplicates(["doc_id", "unit"])
