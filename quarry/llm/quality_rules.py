@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 from .common import cut, drop_cut
-from .textvec import U64, chunks, join2, mix, windows
+from .textvec import U64, chunks, mix, windows
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True

@@ -318,8 +318,9 @@ def near_duplicates(
     sample = np.array([r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
     parts = plan(np.unique(sample), n, distance)
     roots = components(links(distinct.select("node", *names), parts, distance, more_distance))
-    joined = distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so that the joins below read both sides plainly and a hot group's rows can be split
+    joined = cut(distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-roots")
+    least = cut(joined.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
     classes = cut(joined.select("node", "root").join(least, "root").select("node", "component_id"), "simhash-classes")
     drop_cut(distinct)
     return marked.join(classes, "node").select(
