@@ -7,7 +7,6 @@ and whose old postings have not been purged yet. Searches see both until the pur
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,12 +118,11 @@ class Index:
 
     def purge(self) -> Index:
         """Drop deleted pages and the old postings of replaced ones; what is left is generation 0."""
-        spark = self.postings.sparkSession
         kept = (
             self.postings.join(self.pending_delete, "page_id", "left_anti")
             .join(self.pending_replace.withColumn("old_gen", F.lit(0)), [F.col("gen") == F.col("old_gen"), self.postings["page_id"] == self.pending_replace["page_id"]], "left_anti")
         )
-        none = spark.createDataFrame([], PAGES)
+        none = self.postings.sparkSession.createDataFrame([], PAGES)
         return Index(kept.select("term", "page_id", F.lit(0).alias("gen")).distinct(), none, none)
 
     def settled(self) -> Index:
@@ -171,6 +169,3 @@ def build_index(
     terms = page_terms(docs, id_col, text_col, fields, metas)
     none = docs.sparkSession.createDataFrame([], PAGES)
     return Index(terms.withColumn("gen", F.lit(0)), none, none)
-
-
-Predicate = Callable[[DataFrame], Column]
