@@ -397,7 +397,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = source.mapInArrow(run, f"doc_id {kind}, line_no int, start int, end int, line long")
     named = found.join(roots, F.col("line") == F.col("node"), "left").withColumn("root", F.coalesce("root", "line"))
     named = cut(named.select("doc_id", "line_no", "start", "end", "root"), "lines")
-    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("class_size"))
+    # written, so that the join below reads both sides plainly and a hot class's rows can be split
+    first = cut(named.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("class_size")), "line-classes")
     return named.join(first, "root").select(
         "doc_id",
         "line_no",
