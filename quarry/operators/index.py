@@ -62,6 +62,8 @@ class Index:
     postings: DataFrame
     pending_replace: DataFrame
     pending_delete: DataFrame
+    #: whether all postings are of generation 0, so that a term's rows are its pages
+    one_generation: bool = False
 
     # --- building and reading ---
 
@@ -81,7 +83,8 @@ class Index:
     @property
     def dictionary(self) -> DataFrame:
         """Each distinct term with its parts and the number of pages that have it."""
-        return with_parts(self.postings.groupBy("term").agg(F.countDistinct("page_id").alias("df")))
+        pages = F.count("*") if self.one_generation else F.countDistinct("page_id")
+        return with_parts(self.postings.groupBy("term").agg(pages.alias("df")))
 
     def indexed_pages(self) -> DataFrame:
         return self.postings.select("page_id").distinct()
@@ -123,7 +126,7 @@ class Index:
             .join(self.pending_replace.withColumn("old_gen", F.lit(0)), [F.col("gen") == F.col("old_gen"), self.postings["page_id"] == self.pending_replace["page_id"]], "left_anti")
         )
         none = self.postings.sparkSession.createDataFrame([], PAGES)
-        return Index(kept.select("term", "page_id", F.lit(0).alias("gen")).distinct(), none, none)
+        return Index(kept.select("term", "page_id", F.lit(0).alias("gen")).distinct(), none, none, True)
 
     def settled(self) -> Index:
         """Purged if either queue is longer than its limit."""
@@ -147,7 +150,7 @@ class Index:
     def merge(self, other: Index, displacement: DataFrame) -> Index:
         """With the other index's postings, its pages renumbered by (old_id, new_id); pages without a number are left out."""
         moved = other.postings.join(displacement, F.col("page_id") == F.col("old_id")).select("term", F.col("new_id").cast("bigint").alias("page_id"), "gen")
-        return replace(self, postings=self.postings.unionByName(moved).distinct())
+        return replace(self, postings=self.postings.unionByName(moved).distinct(), one_generation=self.one_generation and other.one_generation)
 
     # --- figures ---
 
@@ -164,8 +167,14 @@ def build_index(
     text_col: str | None = None,
     fields: dict[str, Column] | None = None,
     metas: dict[str, Column] | None = None,
+    unique_ids: bool = True,
 ) -> Index:
-    """The index of a document table. Terms are distinct by page already: nothing is shuffled to build it."""
+    """The index of a document table, one row a page: its terms are distinct already and nothing is shuffled.
+
+    Where several rows may have one id, say so with `unique_ids=False`.
+    """
     terms = page_terms(docs, id_col, text_col, fields, metas)
+    if not unique_ids:
+        return replace(Index.of(terms), one_generation=True)
     none = docs.sparkSession.createDataFrame([], PAGES)
-    return Index(terms.withColumn("gen", F.lit(0)), none, none)
+    return Index(terms.withColumn("gen", F.lit(0)), none, none, True)

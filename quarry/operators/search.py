@@ -19,6 +19,8 @@ from .query import SearchOptions, compile_terms, query_frame
 
 #: Query terms that are broadcast at once; more are taken in blocks.
 BLOCK_TERMS = 10_000
+#: Matched terms, of 63 bytes at most each, that are broadcast to the postings.
+BROADCAST_TERMS = 100_000
 
 
 def matches_text(kind_field: bool, mode: str, text: str, right_partial_only: bool = False) -> Column:
@@ -128,8 +130,10 @@ def lookup(index: Index, block: Block, options: SearchOptions, dictionary: DataF
     """
     found = None
     if parts := _matched_terms(block, dictionary if dictionary is not None else index.dictionary, options):
-        terms = reduce(DataFrame.unionByName, parts)
-        found = terms.join(index.postings, "term").select("query_id", "ord", "page_id")
+        terms = reduce(DataFrame.unionByName, parts).persist()
+        # counted first: few terms are broadcast and the postings stay where they are, many are joined by shuffle
+        few = terms.count() <= BROADCAST_TERMS
+        found = index.postings.join(F.broadcast(terms) if few else terms, "term").select("query_id", "ord", "page_id")
     if every := block.every():
         own = index.indexed_pages().join(block.local(every, ["query_id", "ord"]), F.lit(True)).select("query_id", "ord", "page_id")
         found = own if found is None else found.unionByName(own)

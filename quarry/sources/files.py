@@ -24,7 +24,7 @@ def write_index(index: Index, path: str, partitions: int | None = None) -> None:
 def read_index(spark: SparkSession, path: str) -> Index:
     rows = spark.read.parquet(path)
     none = spark.createDataFrame([], "page_id bigint")
-    return Index(rows.withColumn("gen", F.lit(0)), none, none)
+    return Index(rows.withColumn("gen", F.lit(0)), none, none, True)
 
 
 # --- the text format: `word id id a-b` -------------------------------------------------------------
