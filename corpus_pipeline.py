@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, line_dedup, packing, quality_rules, simhash
+from quarry.llm import decontaminate, line_dedup, packing, quality_rules, similar
 from quarry.llm.common import fresh, table
 
 
@@ -21,11 +21,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, linked at a similarity of 0.8 or more.
-
-    Pairs of that similarity differ in up to 14 of 64 bits and in up to 26 of 128 further ones.
-    """
-    return simhash.keep_first(docs, shingle=5, distance=14, extra=2, more_distance=26)
+    """One document of each group stays: linked at a five-word shingle similarity of 0.8 or more, which is verified."""
+    return similar.keep_first(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,283 @@
+"""Near-duplicate documents by an exact join on the similarity of their word shingles.
+
+Two documents are linked if their sets of lower-cased (A-Z) five-word shingles have a Jaccard similarity of 0.8
+or more. The candidates are those of prefix filters, which lose no pair: of two such sets in one common order of
+all shingles, the first n - ceil(0.8 n) + 1 shingles of each share one. Each candidate is verified on the whole sets.
+
+A first prefix, by hash and longer by k, sets aside documents that do not share k of its shingles with others: of
+two alike sets these prefixes share as many. The sets of the rest lie in files that workers map into memory (as
+key sets do). A second prefix, of the shingles that the fewest of these have, gives the
+groups; what a shingle alone has is in no group. Of each group only a spanning forest of the verified links
+leaves the task.
+
+Equal sets are one node, so copies cost one entry.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, drop_cut, fresh, make_dirs, mapped, writing
+from .components import components
+from .keysets import BLOCK, Shipper, build, cells, parts_for, ranges
+from .simhash import sorted_groups, spanning
+from .textvec import U64, Chunk, chunks, mix, windows
+
+SHINGLE = 5
+#: The least similarity, as a fraction.
+OVER, UNDER = 4, 5
+#: Shingles are ordered by how many of these numbers of documents have them.
+CLASSES = (2, 4, 16, 64, 256, 1024, 4096, 16384)
+#: Hashes that are compared at once.
+AT_ONCE = 2_000_000
+
+_OPEN: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def prefix(n: np.ndarray) -> np.ndarray:
+    """How many of n shingles two sets of the least similarity cannot both lack."""
+    return np.where(n > 0, n - (OVER * n + UNDER - 1) // UNDER + 1, 0)
+
+
+def more(n: np.ndarray) -> np.ndarray:
+    """How many shingles more the first prefix has, and must share. It grows slower with n than what alike sets share."""
+    return n // 10
+
+
+def alike(shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return shared * (UNDER + OVER) >= OVER * (n + m)
+
+
+def sets(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node of each row, and its sorted distinct shingles: row i has those from at[i] to at[i + 1].
+
+    The node depends on the set alone; rows without a word have node 0.
+    """
+    starts, ends, at = c.words()
+    h, at = windows(c.hashes(starts, ends), at, SHINGLE, whole=True)
+    row = np.repeat(np.arange(c.rows), np.diff(at))
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h, row = h[new], row[new]
+    at = np.searchsorted(row, np.arange(c.rows + 1))
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h + U64(1)), dtype=U64)])
+    return mix(total[at[1:]] - total[at[:-1]]), h, at
+
+
+def heads(h: np.ndarray, at: np.ndarray, longer: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and hashes of all prefixes, of rows in their order."""
+    n = np.diff(at)
+    row = np.repeat(np.arange(len(n)), n)
+    own = np.arange(len(h)) - at[row] < (prefix(n) + (more(n) if longer else 0))[row]
+    return row[own], h[own]
+
+
+@dataclass(frozen=True)
+class Store:
+    """The sets of the nodes of range p lie in the file `path`/p.sets."""
+
+    path: str
+    parts: int
+
+    def part(self, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted nodes, their bounds and the hashes."""
+        path = f"{self.path}/{p}.sets"
+        if path not in _OPEN:
+            whole = np.frombuffer(mapped(path), U64)
+            n = int(whole[0])
+            _OPEN[path] = whole[1 : n + 1], whole[n + 1 : 2 * n + 2].view(np.int64), whole[2 * n + 2 :]
+        return _OPEN[path]
+
+    def get(self, nodes: np.ndarray) -> list[np.ndarray]:
+        """The sets of sorted nodes that are all there."""
+        out = []
+        for p, s, e in cells(ranges(nodes, self.parts)):
+            own, at, h = self.part(p)
+            i = np.searchsorted(own, nodes[s:e])
+            out += [h[a:b] for a, b in zip(at[i].tolist(), at[i + 1].tolist(), strict=True)]
+        return out
+
+    def write(self, p: int, nodes: list[int], held: list[bytes]) -> None:
+        bounds = np.cumsum([0, *(len(x) // 8 for x in held)])
+        with writing(f"{self.path}/{p}.sets") as f:
+            f.write(np.array([len(nodes), *nodes], U64).tobytes() + bounds.astype(np.int64).tobytes())
+            for x in held:
+                f.write(x)
+
+
+def forest(own: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning links among sets, breadth first, each against those not yet reached."""
+    n = np.array([len(x) for x in own])
+    alive = np.ones(len(own), bool)
+    pairs: list[tuple[int, int]] = []
+    for seed in range(len(own)):
+        if not alive[seed]:
+            continue
+        alive[seed] = False
+        queue = [seed]
+        while queue:
+            u = queue.pop()
+            rest = np.flatnonzero(alive & (n * UNDER >= n[u] * OVER) & (n[u] * UNDER >= n * OVER))
+            step = max(1, AT_ONCE // (2 * int(n[u])))
+            for s in range(0, len(rest), step):
+                part = rest[s : s + step]
+                every = np.concatenate([own[v] for v in part.tolist()])
+                hit = own[u][np.minimum(np.searchsorted(own[u], every), n[u] - 1)] == every
+                shared = np.add.reduceat(hit, np.cumsum(n[part]) - n[part], dtype=np.int64)
+                found = part[alike(shared, n[u], n[part])].tolist()
+                pairs += [(u, v) for v in found]
+                alive[found] = False
+                queue += found
+    return pairs
+
+
+def stored(texts: DataFrame) -> tuple[Store, set[int]]:
+    """The sets of all that meet another by their first prefix, and the ranges that have any."""
+    parts = parts_for(texts, "text", 3)
+
+    def first(batches):
+        shipper = Shipper(parts)
+        for batch in batches:
+            for c in chunks(batch.column(0), lower=True):
+                node, h, at = sets(c)
+                row, key = heads(h, at, longer=True)
+                yield from shipper.add(key, node[row])
+        yield from shipper.ship()
+
+    (met,) = build(texts.mapInArrow(first, BLOCK), parts, 2)
+    store = Store(fresh(texts.sparkSession, "sets"), parts_for(texts, "text", 6))
+    make_dirs(texts.sparkSession, store.path)
+
+    def rest(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for c in chunks(batch.column(0), lower=True):
+                node, h, at = sets(c)
+                row, key = heads(h, at, longer=True)
+                rows = []
+                n = np.diff(at)
+                shared = np.bincount(row[met.contains(key)], minlength=c.rows)
+                for i in np.flatnonzero((n > 0) & (shared > more(n))).tolist():
+                    if (k := int(node[i])) not in seen:
+                        seen.add(k)
+                        rows.append(i)
+                if rows:
+                    own = node[rows]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ranges(own, store.parts).astype(np.int32)),
+                            pa.array(own.view(np.int64)),
+                            pa.array([h[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary()),
+                        ],
+                        ["part", "node", "hashes"],
+                    )
+
+    def write(batches):
+        for table in sorted_groups(batches, single=True):
+            held = {n.as_py() % (1 << 64): x.as_py() for b in table for n, x in zip(b.column(1), b.column(2), strict=True)}
+            nodes = sorted(held)
+            p = table[0].column(0)[0].as_py()
+            store.write(p, nodes, [held[n] for n in nodes])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["part"])
+
+    sent = texts.mapInArrow(rest, "part int, node long, hashes binary")
+    done = sent.repartition(store.parts, "part").sortWithinPartitions("part").mapInArrow(write, "part int").collect()
+    return store, {r["part"] for r in done}
+
+
+def links(texts: DataFrame) -> DataFrame:
+    """(a, b): links among the nodes of `text` that join all that are alike."""
+    spark = texts.sparkSession
+    store, there = stored(texts)
+    ids = spark.range(0, store.parts, 1, store.parts)
+    parts = store.parts
+
+    def own(batches):
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                if p in there:
+                    nodes, at, h = store.part(p)
+                    # some nodes at a time
+                    i = 0
+                    while i < len(nodes):
+                        j = max(i + 1, int(np.searchsorted(at, at[i] + AT_ONCE // 4, "right")) - 1)
+                        yield nodes[i:j], at[i : j + 1] - at[i], h[at[i] : at[j]]
+                        i = j
+
+    def every(batches):
+        shipper = Shipper(parts)
+        for nodes, at, h in own(batches):
+            yield from shipper.add(h, np.repeat(nodes, np.diff(at)))
+        yield from shipper.ship()
+
+    classes = build(ids.mapInArrow(every, BLOCK), parts, *CLASSES)
+
+    def second(batches):
+        for nodes, at, h in own(batches):
+            row = np.repeat(np.arange(len(nodes)), np.diff(at))
+            often = np.zeros(len(h), np.int8)
+            left = np.arange(len(h))
+            for one in classes:
+                left = left[one.contains(h[left])]
+                often[left] += 1
+            order = np.lexsort((h, often, row))
+            often = often[order]
+            row, key = heads(np.stack([h[order], often.astype(U64)], axis=1), at)
+            row, key = row[key[:, 1] > 0], key[key[:, 1] > 0, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes[row].view(np.int64))], ["key", "node"])
+
+    def verify(batches):
+        seen: set[bytes] = set()
+        for table in sorted_groups(batches):
+            nodes = np.sort(np.concatenate([b.column(1).to_numpy() for b in table]).view(U64))
+            # the same documents share many keys
+            if (mark := nodes.tobytes() if len(nodes) < 8 else hash(nodes.tobytes())) in seen:
+                continue
+            seen.add(mark)
+            found = spanning(forest(store.get(nodes)))
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i].view(np.int64)), pa.array(nodes[j].view(np.int64))], ["a", "b"])
+
+    return ids.mapInArrow(second, "key long, node long").repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: doc_id, component_id, the smallest doc_id reachable over links.
+
+    Null texts and those without a word are alike; a text of fewer words than a shingle is one shingle.
+    Rows with a null id have the component of the others that they link to (null if there are none).
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text)
+
+    def run(batches):
+        for batch in batches:
+            for c in chunks(batch.column(1), lower=True):
+                rows = batch.column(0).slice(c.first, c.rows)
+                yield pa.RecordBatch.from_arrays([rows, pa.array(sets(c)[0].view(np.int64))], ["doc_id", "node"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    marked = cut(source.mapInArrow(run, f"doc_id {kind}, node long"), "similar")
+    distinct = cut(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "similar-distinct")
+    roots = components(links(docs.select(text)))
+    # written, so that the joins below read both sides plainly and a hot group's rows can be split
+    joined = cut(distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-roots")
+    least = cut(joined.groupBy("root").agg(F.min("first").alias("component_id")), "similar-least")
+    named = cut(joined.select("node", "root").join(least, "root").select("node", "component_id"), "similar-classes")
+    drop_cut(distinct)
+    return marked.join(named, "node").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows whose group has a smaller id; rows with a null id stay."""
+    found = groups(docs, id_col, text_col)
+    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("__q_gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__q_gone"), "left_anti")
