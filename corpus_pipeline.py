@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines near an earlier one go, and documents of which nothing is left."""
-    return line_dedup.without_duplicates(docs)
+    """Lines near an earlier one go, however short, and documents of which nothing is left."""
+    return line_dedup.without_duplicates(docs, least_chars=0)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,12 @@ def test_pipeline_links_pairs_of_the_least_similarity_and_no_others(spark, sf_di
     expected = components_of(own, [pair for pair, s in alike.items() if s >= 0.8])
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sf_dir)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values()))
+
+
+# --- pipeline: lines -------------------------------------------------------------------------------
+
+
+def test_pipeline_removes_short_repeated_lines(spark, sf_dir):
+    docs = [(1, "All rights reserved.\nbody one of the first\nAnd so."), (2, "All rights reserved.\nbody two, another\nAnd so.\nAnd so."), (3, "And so."), (4, None)]
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), sf_dir).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: docs[0][1], 2: "body two, another", 4: None}
