@@ -90,46 +90,65 @@ def _without(pattern: tuple[int, ...], gone: tuple[int, ...], come: tuple[int, .
     return tuple(sorted(c.elements(), reverse=True))
 
 
-def local_search(runs: list[Run], size: int, most_steps: int = 20_000) -> list[Run]:
-    """Fewer sequences by shifts between underfull ones; at most `most_steps` pairs of runs are tried."""
+def local_search(runs: list[Run], size: int) -> list[Run]:
+    """Fewer sequences by shifts between underfull ones, for all sequences of two patterns at once.
+
+    It ends when no shift is left or the tokens fill all sequences but the last. A pair of patterns is tried
+    again only if one of them is new, so the work depends on the patterns and not on the sequences.
+    """
     bins: Counter[tuple[int, ...]] = Counter()
     for pattern, n in runs:
         bins[pattern] += n
-    total = sum(sum(p) * n for p, n in bins.items())
-    least = -(-total // size)
-    steps = 0
-    spent: set[tuple[int, ...]] = set()
-    while sum(bins.values()) > least and steps < most_steps:
-        under = sorted((p for p in bins if sum(p) < size), key=lambda p: (sum(p), p))
-        source = next((p for p in under if p not in spent), None)
-        if source is None or sum(bins[p] for p in under) < 2:
-            break
-        # empty one sequence of the source: `rest` is what is left of it
-        rest, done = source, []
-        trial = bins.copy()
-        trial[source] -= 1
-        for target in reversed(under):
-            while rest and trial[target] > 0 and steps < most_steps:
-                steps += 1
-                shift = _best_shift(rest, target, size - sum(target))
-                if shift is None or sum(target) < sum(rest):
+    number = sum(bins.values())
+    least = -(-sum(sum(p) * n for p, n in bins.items()) // size)
+    stamp = 0
+    born = dict.fromkeys(bins, 0)
+    tried: dict[tuple[int, ...], int] = {}
+
+    def add(pattern: tuple[int, ...], n: int) -> None:
+        nonlocal stamp
+        if pattern not in bins:
+            stamp += 1
+            born[pattern] = stamp
+        bins[pattern] += n
+        if not bins[pattern]:
+            del bins[pattern], born[pattern]
+
+    moved = True
+    while moved and number > least:
+        moved = False
+        under = sorted((sum(p), p) for p in bins if sum(p) < size)
+        for fill, source in under:
+            if source not in bins:
+                continue
+            before, whole = stamp, source
+            for full, target in reversed(under):
+                if full < fill or number <= least:
                     break
+                if target not in bins or (target != source and max(born[target], born[source]) <= tried.get(source, -1)):
+                    continue
+                times = bins[source] // 2 if source == target else min(bins[source], bins[target])
+                shift = _best_shift(source, target, size - full) if times else None
+                if shift is None:
+                    continue
+                moved = True
                 _, gone, come = shift
-                trial[target] -= 1
-                trial[_without(target, come, gone)] += 1
-                rest = _without(rest, gone, come)
-                done.append(target)
-            if not rest or steps >= most_steps:
-                break
-        if not done:
-            spent.add(source)
-            continue
-        if rest:
-            trial[rest] += 1
-            spent.add(source)
-            spent.add(rest)
-        bins = Counter({p: n for p, n in trial.items() if n > 0})
-    return sorted(((p, n) for p, n in bins.items() if n > 0), key=lambda r: (-sum(r[0]), r[0]))
+                add(source, -times)
+                add(target, -times)
+                add(_without(target, come, gone), times)
+                rest = _without(source, gone, come)
+                if rest:
+                    add(rest, times)
+                else:
+                    number -= times
+                if source not in bins:
+                    # go on with what is left of them
+                    if not rest:
+                        break
+                    source, fill = rest, sum(rest)
+            if source == whole:
+                tried[source] = before
+    return sorted(bins.items(), key=lambda r: (-sum(r[0]), r[0]))
 
 
 class Places:

@@ -1,9 +1,11 @@
 """The whole job: what an earlier version left out."""
 
+import collections
 import itertools
 import random
 
 import corpus_pipeline
+from quarry.llm import packing
 from test_operators import components_of
 
 
@@ -50,3 +52,19 @@ def test_pipeline_removes_short_repeated_lines(spark, sf_dir):
     docs = [(1, "All rights reserved.\nbody one of the first\nAnd so."), (2, "All rights reserved.\nbody two, another\nAnd so.\nAnd so."), (3, "And so."), (4, None)]
     got = corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), sf_dir).collect()
     assert {r["doc_id"]: r["text"] for r in got} == {1: docs[0][1], 2: "body two, another", 4: None}
+
+
+# --- op10 ------------------------------------------------------------------------------------------
+
+
+def test_local_search_takes_all_sequences_of_two_patterns():
+    # 200,000 sequences of two 40s, as many of one 60 twice: the 60s belong with the 40s
+    runs = [((40, 40), 200_000), ((60,), 400_000)]
+    better = packing.local_search(runs, 100)
+    assert sum(n for _, n in better) == 400_000
+    held = collections.Counter()
+    for pattern, n in better:
+        assert sum(pattern) <= 100
+        for x in pattern:
+            held[x] += n
+    assert held == {40: 400_000, 60: 400_000}
