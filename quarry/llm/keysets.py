@@ -73,7 +73,7 @@ class KeySet:
             else:
                 try:
                     _OPEN[path] = np.frombuffer(mapped(path), U64)
-                except OSError:
+                except FileNotFoundError:  # any other error fails the task, which runs again
                     _OPEN[path] = None
         return _OPEN[path]
 

@@ -357,7 +357,7 @@ def _exists(model: Model, name: str) -> bool:
         return os.path.exists(local)
     try:
         mapped(path)
-    except OSError:
+    except FileNotFoundError:  # any other error fails the task, which runs again
         return False
     return True
 

@@ -5,7 +5,9 @@ import itertools
 import random
 
 import corpus_pipeline
-from quarry.llm import packing
+import numpy as np
+import pytest
+from quarry.llm import keysets, lm_score, packing
 from test_operators import components_of
 
 
@@ -68,3 +70,27 @@ def test_local_search_takes_all_sequences_of_two_patterns():
         for x in pattern:
             held[x] += n
     assert held == {40: 400_000, 60: 400_000}
+
+
+# --- key sets --------------------------------------------------------------------------------------
+
+
+def test_only_a_missing_file_is_an_empty_range(monkeypatch):
+    def failing(error):
+        def opened(path):
+            raise error
+
+        return opened
+
+    model = lm_score.Model.__new__(lm_score.Model)
+    object.__setattr__(model, "path", "store://host/lm")
+    for module in (keysets, lm_score):
+        monkeypatch.setattr(module, "mapped", failing(OSError("connection reset")))
+    with pytest.raises(OSError):
+        keysets.KeySet("store://host/a", 1).contains(np.array([5], np.uint64))
+    with pytest.raises(OSError):
+        lm_score._exists(model, "bi-0.keys")
+    for module in (keysets, lm_score):
+        monkeypatch.setattr(module, "mapped", failing(FileNotFoundError("no such key")))
+    assert not keysets.KeySet("store://host/a", 1).contains(np.array([5], np.uint64)).any()
+    assert not lm_score._exists(model, "bi-0.keys")
