@@ -7,14 +7,19 @@ Executors share nothing with the driver but the inputs, the warehouse and the fo
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
+#: A worker holds at most so many files open, and so many bytes of those that it cannot map.
+MOST_OPEN, MOST_READ = 192, 256 << 20
+
+_OPEN: OrderedDict[str, tuple[object, int]] = OrderedDict()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; without it a folder of the warehouse, which executors share too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="quarry-"))
-    return _OWN_DIR[0]
+    return configured.rstrip("/") if configured else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def fresh(spark: SparkSession, name: str) -> str:
@@ -48,6 +49,38 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores behind it, so that `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spare_prefix(df: DataFrame, prefix: str) -> str:
+    """`prefix`, or with underscores behind it, so that no column of `df` begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def file_rows() -> list[Column]:
+    """What tells the rows of a table that is read from files apart, the same at each reading."""
+    return [F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")]
+
+
+def keyed(docs: DataFrame, row_key: list[Column] | None) -> tuple[DataFrame, list[str]]:
+    """`docs` with further columns, whose names come second, that tell its rows apart at every reading.
+
+    They are `row_key` (see `file_rows`); without it, the rows are numbered in a copy that is written first.
+    """
+    if row_key is None:
+        name = spare(docs, "row")
+        return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), [name]
+    names = [spare(docs, f"row{k}") for k in range(len(row_key))]
+    return docs.select("*", *[c.alias(n) for c, n in zip(row_key, names, strict=True)]), names
+
+
 def make_dirs(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jpath)
@@ -106,6 +139,24 @@ def mapped(uri: str):
         return f.read_buffer()
 
 
+def opened(uri: str, parse: Callable):
+    """What `parse` makes of the file's buffer, or None if there is no such file; any other error fails the task.
+
+    The files used last stay open, so that a worker's mappings and memory do not grow with the corpus.
+    """
+    if uri in _OPEN:
+        _OPEN.move_to_end(uri)
+        return _OPEN[uri][0]
+    try:
+        buffer = mapped(uri)
+    except FileNotFoundError:
+        return None
+    _OPEN[uri] = parse(buffer), 0 if _local(uri) is not None else buffer.size
+    while len(_OPEN) > 1 and (len(_OPEN) > MOST_OPEN or sum(n for _, n in _OPEN.values()) > MOST_READ):
+        _OPEN.popitem(last=False)
+    return _OPEN[uri][0]
+
+
 def target_partitions(rows: int, per_partition: int, least: int = 1) -> int:
     """Partitions that hold about `per_partition` rows each."""
     return max(least, -(-rows // per_partition))

@@ -7,15 +7,14 @@ have is one entry of each block.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, make_dirs, mapped, target_partitions, writing
+from .common import fresh, make_dirs, opened, remove, target_partitions, writing
 from .simhash import sorted_groups
 from .textvec import U64
 
@@ -23,8 +22,6 @@ BLOCK = "part int, keys binary, owners binary"
 HELD = 800_000
 KEYS_PER_RANGE = 2_000_000
 
-_OPEN: dict[str, np.ndarray | None] = {}
-
 
 def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
     """Which of equal ranges each key lies in; sorted keys give sorted ranges."""
@@ -65,17 +62,11 @@ class KeySet:
         return found[back]
 
     def _keys(self, p: int) -> np.ndarray | None:
-        path = f"{self.path}/{p}.keys"
-        if path not in _OPEN:
-            local = path.removeprefix("file://").removeprefix("file:")
-            if "://" not in local and not os.path.exists(local):
-                _OPEN[path] = None
-            else:
-                try:
-                    _OPEN[path] = np.frombuffer(mapped(path), U64)
-                except FileNotFoundError:  # any other error fails the task, which runs again
-                    _OPEN[path] = None
-        return _OPEN[path]
+        return opened(f"{self.path}/{p}.keys", lambda buffer: np.frombuffer(buffer, U64))
+
+    def drop(self, spark: SparkSession) -> None:
+        """Delete the files, once nothing reads them any more."""
+        remove(spark, self.path)
 
 
 def build(blocks: DataFrame, parts: int, *least: int) -> list[KeySet]:
@@ -101,7 +92,7 @@ def build(blocks: DataFrame, parts: int, *least: int) -> list[KeySet]:
                         f.write(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([len(unique)])], ["n"])
 
-    blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(reduce, "n long").agg(F.sum("n")).collect()
+    blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(reduce, "n long").agg(F.sum("n")).collect()
     return found
 
 

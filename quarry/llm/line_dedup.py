@@ -11,6 +11,10 @@ another line form a second set; only the lines that have those are sent, with th
 banded bit-parallel edit distance verifies them. Of each key only a spanning forest of the links leaves
 the task, so a thousand variants of a line make a thousand rows and not a million.
 
+Many lines may share a segment and nothing else, as lines with one beginning do. The lines of such a key are
+dealt to pairs of blocks, a task's work each, and only pairs whose byte pairs are nearly the same are verified:
+an edit changes at most four bits of a line's 256-bit map of them.
+
 Equal lines are one node of the join. A class is a connected component of links; its earliest line
 (document id, line number) is kept.
 """
@@ -19,18 +23,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_cut, keyed, spare
 from .components import components
 from .keysets import BLOCK, Shipper, build, parts_for
-from .simhash import sorted_groups, spanning
+from .simhash import breadth_first, dealt, sorted_groups, spanning
 from .textvec import SPACE, U64, Chunk, chunks, mix, powers
 
 #: Lines shorter than the first number must be equal, than the second may differ by one byte, else by two.
 LIMITS = (10, 20)
 MOST = len(LIMITS)
+#: Lines that are compared in one task.
+MOST_LINES = 16_384
 
 
 def allowed(length: np.ndarray) -> np.ndarray:
@@ -207,33 +213,38 @@ def _banded(work: list, most: int, out: np.ndarray) -> None:
             a, b, vp, vn, distance, n, where, over = (x[keep] for x in (a, b, vp, vn, distance, n, where, over))
 
 
-def forest(texts: list[bytes], index: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning links among distinct lines of one key, each pair with an indexed one of the two.
+def pair_maps(texts: list[bytes]) -> np.ndarray:
+    """For each text 256 bits (four words), those that its pairs of neighbouring bytes hash to."""
+    size = np.array([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
+    row = np.repeat(np.arange(len(texts)), size)
+    bucket = ((data[:-1] * 256 + data[1:]) * np.uint32(2654435761) >> np.uint32(24)).astype(np.int64)
+    inside = row[:-1] == row[1:]
+    found = np.zeros((len(texts), 256), bool)
+    found[row[:-1][inside], bucket[inside]] = True
+    return np.packbits(found, axis=1).view(U64)
 
-    Component by component, each line against those not yet reached, a block of pairs at a time.
-    """
+
+def forest(texts: list[bytes], index: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning links among distinct lines of one key, each pair with an indexed one of the two."""
     length = np.array([len(t) for t in texts])
     t = allowed(length)
-    alive = np.ones(len(texts), bool)
-    pairs: list[tuple[int, int]] = []
-    for seed in np.flatnonzero(index).tolist():
-        if not alive[seed]:
-            continue
-        alive[seed] = False
-        queue = [seed]
-        while queue:
-            u = queue.pop()
-            rest = np.flatnonzero(alive & (np.abs(length - length[u]) <= np.minimum(t, t[u])))
-            if not index[u]:
-                rest = rest[index[rest]]
-            for s in range(0, len(rest), 4096):
-                part = rest[s : s + 4096]
-                d = banded_distance([(texts[u], texts[v]) for v in part.tolist()], MOST)
-                found = part[d <= np.minimum(t[part], t[u])].tolist()
-                pairs += [(u, v) for v in found]
-                alive[found] = False
-                queue += found
-    return pairs
+    maps = pair_maps(texts)
+
+    def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        most = np.minimum(t[a][:, None], t[b])
+        close = (np.abs(length[a][:, None] - length[b]) <= most) & (index[a][:, None] | index[b])
+        apart = np.zeros(close.shape, np.uint8)
+        for k in range(maps.shape[1]):
+            apart += np.bitwise_count(maps[a, k][:, None] ^ maps[b, k])
+        i, j = np.nonzero(close & (apart <= 4 * most))
+        i, j = a[i], b[j]
+        i, j = i[i != j], j[i != j]
+        d = [banded_distance([(texts[x], texts[y]) for x, y in zip(i[s : s + 4096].tolist(), j[s : s + 4096].tolist(), strict=True)], MOST) for s in range(0, len(i), 4096)]
+        linked = np.concatenate(d) <= np.minimum(t[i], t[j]) if d else np.zeros(0, bool)
+        return i[linked], j[linked]
+
+    return breadth_first(index, near)
 
 
 # --- the join --------------------------------------------------------------------------------------
@@ -361,74 +372,94 @@ def links(texts: DataFrame) -> DataFrame:
                 held, waiting = [], 0
         yield from _settle(held)
 
-    sent = texts.mapInArrow(members, "key long, line long, indexed boolean, text binary")
-    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
+    sent = cut(texts.mapInArrow(members, "key long, line long, indexed boolean, text binary"), "line-members")
+    cells = dealt(sent, "line", MOST_LINES).repartition("cell").sortWithinPartitions("cell")
+    found = cut(cells.mapInArrow(verify, "a long, b long"), "line-links")
+    drop_cut(sent)
+    for one in (every, shared, meeting):
+        one.drop(texts.sparkSession)
+    return found
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_key: list[Column] | None = None) -> DataFrame:
     """One row per line with a word: doc_id, line_no (from 0), start, end, class_doc_id, class_line_no, class_size, kept.
 
-    The class is named by its earliest line; class_size counts its lines; kept is true for the earliest
-    alone. start and end are characters of the text, white space at the line's ends left out. Null texts
-    and lines without a word have no row; null ids rank first; rows of one id are one document, whose
-    equal lines of one number are kept alike; an empty table gives no rows.
+    The class is named by its earliest line (id, row, number); class_size counts its lines; kept is true for
+    the earliest alone. start and end are characters of the text, white space at the line's ends left out.
+    Null texts and lines without a word have no row; null ids rank first; rows of one id are texts of their
+    own, also if they are equal, told apart by `row_key` (see common.keyed); lines of any length are compared
+    whole; an empty table gives no rows. Only the id and the text are read, whatever other columns are called.
     """
+    rows, row = keyed(docs, row_key)
+    return _classes(rows, row, id_col, text_col).drop(*row)
+
+
+def _classes(rows: DataFrame, row: list[str], id_col: str, text_col: str) -> DataFrame:
+    """`classes` with the columns `row` behind the id."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
-    joined = links(docs.select(text))
+    joined = links(rows.select(text))
     roots = components(joined)
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text)
-    names = ["doc_id", "line_no", "start", "end", "line"]
+    drop_cut(joined)
+    source = rows.select(F.col(f"`{id_col}`").alias("doc_id"), *row, text)
+    names = ["doc_id", *row, "line_no", "start", "end", "line"]
 
     def run(batches):
         for batch in batches:
-            for c in chunks(batch.column(1)):
-                row, number, start, end, h = lines(c)
+            for c in chunks(batch.column(batch.num_columns - 1)):
+                of, number, start, end, h = lines(c)
                 char = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
-                origin = char[c.offsets[row]]
+                origin = char[c.offsets[of]]
+                at = pa.array(of + c.first)
                 columns = [
-                    batch.column(0).take(pa.array(row + c.first)),
+                    *(batch.column(k).take(at) for k in range(batch.num_columns - 1)),
                     pa.array(number.astype(np.int32)),
                     *(pa.array((char[x] - origin).astype(np.int32)) for x in (start, end)),
                     pa.array(h.view(np.int64)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    found = source.mapInArrow(run, f"doc_id {kind}, line_no int, start int, end int, line long")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    found = source.mapInArrow(run, f"{kinds}, line_no int, start int, end int, line long")
     named = found.join(roots, F.col("line") == F.col("node"), "left").withColumn("root", F.coalesce("root", "line"))
-    named = cut(named.select("doc_id", "line_no", "start", "end", "root"), "lines")
+    named = cut(named.select("doc_id", *row, "line_no", "start", "end", "root"), "lines")
     # written, so that the join below reads both sides plainly and a hot class's rows can be split
-    first = cut(named.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("class_size")), "line-classes")
+    place = F.struct("doc_id", *row, "line_no")
+    first = cut(named.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("class_size")), "line-classes")
     return named.join(first, "root").select(
         "doc_id",
+        *row,
         "line_no",
         "start",
         "end",
         F.col("first.doc_id").alias("class_doc_id"),
         F.col("first.line_no").alias("class_line_no"),
         "class_size",
-        F.struct("doc_id", "line_no").eqNullSafe(F.col("first")).alias("kept"),
+        place.eqNullSafe(F.col("first")).alias("kept"),
     )
 
 
-def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 30) -> DataFrame:
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 0, row_key: list[Column] | None = None) -> DataFrame:
     """`docs` without lines that are near an earlier one; documents left without a line go.
 
-    Lines shorter than `least_chars` characters stay: such lines recur by chance. A document that had no
-    line with a word, or has a null id, stays as it is. Line breaks of removed lines go with them.
+    Lines shorter than `least_chars` characters stay. Each row is a text of its own, also if rows share an id or are
+    equal (the first of equal rows stays); null ids rank first. A document that had no line with a word, or a null
+    text, stays as it is. Line breaks of removed lines go with them. Lines and texts of any length are treated whole;
+    an empty table gives an empty one; columns may have any names.
     """
-    found = classes(docs, id_col, text_col)
+    rows, row = keyed(docs, row_key)
+    names = [spare(rows, f"of{k}") for k in range(len(row))]
+    drop, new = spare(rows, "gone"), spare(rows, "rest")
     gone = (
-        found.filter(~F.col("kept") & (F.col("end") - F.col("start") >= least_chars))
-        .groupBy(F.col("doc_id").alias("__q_id"))
-        .agg(F.collect_set("line_no").alias("__q_gone"))
+        _classes(rows, row, id_col, text_col)
+        .filter(~F.col("kept") & (F.col("end") - F.col("start") >= least_chars))
+        .groupBy(*[F.col(r).alias(n) for r, n in zip(row, names, strict=True)])
+        .agg(F.collect_set("line_no").alias(drop))
     )
     text = F.col(f"`{text_col}`")
-    rest = F.array_join(
-        F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("__q_gone", i)),
-        "\n",
-    )
-    joined = docs.join(gone, F.col(f"`{id_col}`") == F.col("__q_id"), "left")
-    new = F.when(F.col("__q_gone").isNull(), text).otherwise(rest)
-    joined = joined.withColumn("__q_new", new).filter(F.col("__q_gone").isNull() | F.col("__q_new").rlike("[^\\x20\\x09-\\x0D]"))
-    return joined.select(*[F.col("__q_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    line = F.split(text, "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), F.col(drop))
+    rest = F.array_join(F.transform(left, lambda i: F.get(line, i)), "\n")
+    same = [F.col(r) == F.col(n) for r, n in zip(row, names, strict=True)]
+    joined = rows.join(gone, same, "left").withColumn(new, F.when(F.col(drop).isNull(), text).otherwise(rest))
+    joined = joined.filter(F.col(drop).isNull() | F.col(new).rlike("[^\\x20\\x09-\\x0D]"))
+    return joined.select(*[F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -1,16 +1,17 @@
 """Perplexity under an interpolated modified Kneser-Ney bigram model, counted in Spark.
 
 Counting. Each task counts its own words and bigrams in numpy and ships them as blocks of sorted arrays,
-one row for each range of keys, so that the shuffle carries eleven bytes a distinct bigram and no row
-overhead. A reducer merges a range and writes it as sorted arrays below the shared folder. Ranges of
+one row for each range of keys, so that the shuffle carries thirteen bytes a distinct bigram and no row
+overhead. Words are 64-bit hashes, of which bigrams hold 48 bits. A reducer merges a range and writes it as sorted arrays below the shared folder. Ranges of
 bigrams are cut at quantiles of a sample of keys; a key's high bits come from the context and its low
 bits from the pair, so a context that a third of all bigrams have is spread over several ranges.
 
-Model. `uni` ranges hold every training token's hash, count and number of distinct predecessors; `bi`
-ranges hold bigram keys and counts; `ctx` arrays hold each context's total and its numbers of followers
-seen once, twice and more often. Discounts come from the counts of counts of the whole corpus.
+Model. `uni` files hold every training token's hash and count, `before` files its number of distinct
+predecessors; `bi` files hold a range's bigram keys and counts, and each context's total and its numbers of
+followers seen once, twice and more often. Discounts come from the counts of counts of the whole corpus.
 
-Scoring. Workers memory-map the arrays and look up whole batches of sorted, distinct keys at once.
+Scoring. Workers memory-map the files, a bounded number at a time, and look up whole batches of sorted, distinct
+keys at once.
 
 Bigrams are the highest order: the whole of the trigrams, most of them seen once, would take more disk
 than the counting may use (see README).
@@ -18,7 +19,6 @@ than the counting may use (see README).
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, make_dirs, mapped, target_partitions, writing
+from .common import fresh, make_dirs, mapped, opened, target_partitions, writing
 from .language_id import remainder
 from .simhash import sorted_groups
 from .textvec import U64, Chunk, chunks, join2
 
 END_TOKEN = U64(0x6C62272E07BB0142)
-START = U64(0x27D4EB2F165667C5) >> U64(24)
+#: Bits of a word's hash that bigrams hold.
+WORD_BITS = 48
+CUT, WIDTH = U64(64 - WORD_BITS), WORD_BITS // 8
+START = U64(0x27D4EB2F165667C5) >> CUT
 #: Training tokens for each range of keys, and distinct bigrams that a task holds before it ships them.
 TOKENS_PER_RANGE, HELD = 2_000_000, 700_000
 
@@ -51,17 +54,22 @@ def tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pairs(token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 40-bit context and word of each token; a row's first has the start as its context."""
-    word = token >> U64(24)
+    """The context and word of each token, cut to WORD_BITS; a row's first has the start as its context."""
+    word = token >> CUT
     context = np.empty_like(word)
     context[1:] = word[:-1]
     context[at[:-1]] = START
     return context, word
 
 
+def high_bits(context: np.ndarray) -> np.ndarray:
+    """The 24 bits of a context that its bigrams' keys begin with."""
+    return context >> U64(WORD_BITS - 24)
+
+
 def bigram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """24 bits of the context, then 40 of the pair."""
-    return ((context >> U64(16)) << U64(40)) | (join2(context, word) >> U64(24))
+    return (high_bits(context) << U64(40)) | (join2(context, word) >> U64(24))
 
 
 def token_range(token: np.ndarray, n: int) -> np.ndarray:
@@ -105,20 +113,31 @@ def merge(key: np.ndarray, n: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray
 
 # --- files -----------------------------------------------------------------------------------------
 
-
-def _put(path: str, x: np.ndarray) -> None:
-    with writing(path) as f:
-        f.write(memoryview(np.ascontiguousarray(x)).cast("B") if len(x) else b"")
+KINDS = ("<u8", "<i8", "<u4", "|u1")
 
 
-_OPEN: dict[str, np.ndarray] = {}
+def _put(path: str, **arrays: np.ndarray) -> None:
+    """One file of named arrays: how many, their lengths and kinds, then each at a multiple of eight bytes."""
+    head = np.array([len(arrays), *(x for a in arrays.values() for x in (len(a), KINDS.index(a.dtype.str)))], np.int64)
+    with writing(path) as f:
+        f.write(head.tobytes())
+        for a in arrays.values():
+            f.write(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 8))
+
+
+def _parse(buffer) -> list[np.ndarray]:
+    head = np.frombuffer(buffer, np.int64, 1)
+    head = np.frombuffer(buffer, np.int64, 1 + 2 * int(head[0]))
+    at, out = head.nbytes, []
+    for n, kind in head[1:].reshape(-1, 2).tolist():
+        out.append(np.frombuffer(buffer, KINDS[kind], n, at))
+        at += out[-1].nbytes + -out[-1].nbytes % 8
+    return out
 
 
-def _get(path: str, kind: type) -> np.ndarray:
-    """The file's numbers, memory-mapped; each worker opens a file once."""
-    if path not in _OPEN:
-        _OPEN[path] = np.frombuffer(mapped(path), kind)
-    return _OPEN[path]
+def _get(path: str) -> list[np.ndarray] | None:
+    """The file's arrays, memory-mapped; None if the range is empty and has no file."""
+    return opened(path, _parse)
 
 
 # --- counting --------------------------------------------------------------------------------------
@@ -141,7 +160,7 @@ def _cells(part: np.ndarray):
 
 
 def _by_part(blocks: DataFrame, parts: int) -> DataFrame:
-    return blocks.repartition(parts, "part").select("part", "kind", "a", "b", "n").sortWithinPartitions("part")
+    return blocks.repartitionById(parts, F.greatest("part", F.lit(0))).select("part", "kind", "a", "b", "n").sortWithinPartitions("part")
 
 
 def _rows(table: list[pa.RecordBatch]):
@@ -175,8 +194,7 @@ def count_tokens(texts: DataFrame, path: str, parts: int) -> tuple[int, int]:
             part = table[0].column(0)[0].as_py()
             found = [(np.frombuffer(a, U64), _uncounts(n, len(a) // 8)) for _, a, _, n in _rows(table)]
             key, n = merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            _put(f"{path}/uni-{part}.hash", key)
-            _put(f"{path}/uni-{part}.count", n)
+            _put(f"{path}/{part}.uni", hash=key, count=n)
             yield pa.RecordBatch.from_arrays([pa.array([len(key)]), pa.array([int(n.sum())])], ["words", "tokens"])
 
     total = _by_part(texts.mapInArrow(count, BLOCK), parts).mapInArrow(reduce, "words long, tokens long").agg(
@@ -242,7 +260,7 @@ def count_bigrams(texts: DataFrame, path: str, parts: int, bounds: np.ndarray) -
             key, n, context, word = merge(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held[:] = [empty]
             part = np.searchsorted(bounds, key, "right")
-            rows = [(1, p, _planes(context[s:e], 5), _planes(word[s:e], 5), _counts(n[s:e])) for p, s, e in _cells(part)]
+            rows = [(1, p, _planes(context[s:e], WIDTH), _planes(word[s:e], WIDTH), _counts(n[s:e])) for p, s, e in _cells(part)]
             return [_block(rows)] if rows else []
 
         for batch in batches:
@@ -261,22 +279,17 @@ def count_bigrams(texts: DataFrame, path: str, parts: int, bounds: np.ndarray) -
             part = table[0].column(0)[0].as_py()
             found = []
             for _, a, b, n in _rows(table):
-                context, word = _unplanes(a, 5), _unplanes(b, 5)
+                context, word = _unplanes(a, WIDTH), _unplanes(b, WIDTH)
                 found.append((bigram_key(context, word), _uncounts(n, len(context)), context, word))
             del table
             key, n, context, word = merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
             del found
-            _put(f"{path}/bi-{part}.key", key)
             small = np.minimum(n, 255).astype(np.uint8)
-            _put(f"{path}/bi-{part}.count", small)
-            _put(f"{path}/bi-{part}.large", n[small == 255])
             stats = _stats(context, n)
-            _put(f"{path}/ctx-{part}.key", stats[0])
-            _put(f"{path}/ctx-{part}.total", stats[1])
-            for name, x in zip(("one", "two", "more"), stats[2:], strict=True):
-                _put(f"{path}/ctx-{part}.{name}", x.astype(np.uint32))
+            one, two, more = (x.astype(np.uint32) for x in stats[2:])
+            _put(f"{path}/{part}.bi", key=key, count=small, large=n[small == 255], context=stats[0], total=stats[1], one=one, two=two, more=more)
             # what the neighbouring ranges may hold too
-            high = stats[0] >> U64(16)
+            high = high_bits(stats[0])
             edge = np.zeros(len(high), bool)
             for bound in (bounds[part - 1 : part], bounds[part : part + 1]):
                 if len(bound):
@@ -285,7 +298,7 @@ def count_bigrams(texts: DataFrame, path: str, parts: int, bounds: np.ndarray) -
             census = np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [len(n)], np.int64)
             word, seen = np.unique(word, return_counts=True)
             rows = [(3, -1, census.tobytes(), shared.tobytes(), b"")]
-            rows += [(2, p, _planes(word[s:e], 5), b"", _counts(seen[s:e])) for p, s, e in _cells(token_range(word << U64(24), parts))]
+            rows += [(2, p, _planes(word[s:e], WIDTH), b"", _counts(seen[s:e])) for p, s, e in _cells(token_range(word << CUT, parts))]
             yield _block(rows)
 
     def finish(batches):
@@ -295,12 +308,12 @@ def count_bigrams(texts: DataFrame, path: str, parts: int, bounds: np.ndarray) -
             if part < 0:
                 yield _block([(kind, part, a, b, n) for kind, a, b, n in _rows(table)])
                 continue
-            found = [(_unplanes(a, 5), _uncounts(n, len(a) // 5)) for _, a, _, n in _rows(table)]
+            found = [(_unplanes(a, WIDTH), _uncounts(n, len(a) // WIDTH)) for _, a, _, n in _rows(table)]
             word, seen = merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            own = np.frombuffer(mapped(f"{path}/uni-{part}.hash"), U64) >> U64(24)
+            own = _parse(mapped(f"{path}/{part}.uni"))[0] >> CUT
             at = np.minimum(np.searchsorted(word, own), len(word) - 1)
             seen = np.where(word[at] == own, seen[at], 0)
-            _put(f"{path}/uni-{part}.before", seen.astype(np.uint32))
+            _put(f"{path}/{part}.before", before=seen.astype(np.uint32))
             census = np.array([(seen == k).sum() for k in (1, 2, 3, 4)] + [(seen >= 3).sum(), seen.sum()], np.int64)
             yield _block([(4, part, census.tobytes(), b"", b"")])
 
@@ -348,38 +361,43 @@ def train(texts: DataFrame, tokens_per_range: int = TOKENS_PER_RANGE) -> Model:
 # --- scoring ---------------------------------------------------------------------------------------
 
 
-def _exists(model: Model, name: str) -> bool:
-    path = f"{model.path}/{name}"
-    if path in _OPEN:
-        return True
-    local = path.removeprefix("file://").removeprefix("file:")
-    if "://" not in local:
-        return os.path.exists(local)
-    try:
-        mapped(path)
-    except FileNotFoundError:  # any other error fails the task, which runs again
-        return False
-    return True
+def _find(keys: np.ndarray, query: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The place of each query among sorted keys (-1: not there), and each column's value at it (0)."""
+    at = np.minimum(np.searchsorted(keys, query), max(len(keys) - 1, 0))
+    hit = keys[at] == query if len(keys) else np.zeros(len(query), bool)
+    return np.where(hit, at, -1), *(np.where(hit, c[at], 0).astype(np.int64) if len(keys) else np.zeros(len(query), np.int64) for c in columns)
 
 
-def _find(model: Model, name: str, key: str, part: np.ndarray, query: np.ndarray, columns: list[tuple[str, type]]) -> list[np.ndarray]:
-    """For sorted distinct queries and their sorted ranges: each column's value, 0 where the key is not there."""
-    out = [np.zeros(len(query), np.int64) for _ in columns]
+def find_words(model: Model, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts and numbers of predecessors of sorted distinct hashes."""
+    count, before = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+    for p, s, e in _cells(token_range(word, model.parts)):
+        if (own := _get(f"{model.path}/{p}.uni")) is not None:
+            seen = _get(f"{model.path}/{p}.before")
+            _, count[s:e], before[s:e] = _find(own[0], word[s:e], own[1], seen[0] if seen is not None else np.zeros(len(own[0]), np.int64))
+    return count, before
+
+
+def find_contexts(model: Model, context: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
+    """What sorted distinct contexts have in the given ranges: total, once, twice, more."""
+    sums = [np.zeros(len(context), np.int64) for _ in range(4)]
     for p, s, e in _cells(part):
-        if not _exists(model, f"{name}-{p}.{key}"):
-            continue
-        keys = _get(f"{model.path}/{name}-{p}.{key}", np.uint64)
-        at = np.searchsorted(keys, query[s:e])
-        inside = at < len(keys)
-        hit = np.zeros(e - s, bool)
-        hit[inside] = keys[at[inside]] == query[s:e][inside]
-        for values, (column, kind) in zip(out, columns, strict=True):
-            values[s:e][hit] = _get(f"{model.path}/{name}-{p}.{column}", kind)[at[hit]]
-        if name == "bi" and (large := out[0][s:e] == 255).any():
-            counts = _get(f"{model.path}/bi-{p}.count", np.uint8)
-            order = np.searchsorted(np.flatnonzero(counts == 255), at[large])
-            out[0][s:e][large] = _get(f"{model.path}/bi-{p}.large", np.int64)[order]
-    return out
+        if (own := _get(f"{model.path}/{p}.bi")) is not None:
+            for x, y in zip(sums, _find(own[3], context[s:e], *own[4:])[1:], strict=True):
+                x[s:e] = y
+    return sums
+
+
+def find_bigrams(model: Model, key: np.ndarray) -> np.ndarray:
+    """The counts of sorted distinct keys."""
+    n = np.zeros(len(key), np.int64)
+    for p, s, e in _cells(np.searchsorted(model.bounds, key, "right")):
+        if (own := _get(f"{model.path}/{p}.bi")) is not None:
+            at, found = _find(own[0], key[s:e], own[1])
+            if (large := found == 255).any():
+                found[large] = own[2][np.searchsorted(np.flatnonzero(own[1] == 255), at[large])]
+            n[s:e] = found
+    return n
 
 
 def score_chunk(model: Model, c: Chunk) -> tuple[np.ndarray, ...]:
@@ -387,7 +405,7 @@ def score_chunk(model: Model, c: Chunk) -> tuple[np.ndarray, ...]:
     token, at = tokens(c)
     row = np.repeat(np.arange(c.rows), np.diff(at))
     unique, back = np.unique(token, return_inverse=True)
-    count, before = _find(model, "uni", "hash", token_range(unique, model.parts), unique, [("count", np.int64), ("before", np.uint32)])
+    count, before = find_words(model, unique)
     base = np.log10((count + 0.5) / (model.train_tokens + 0.5 * (model.words + 1)))
     total = max(model.word_total, 1)
     low = np.maximum(before - model.word_discount[np.minimum(before, 3)], 0) / total + model.word_backoff / (model.words + 1)
@@ -395,17 +413,17 @@ def score_chunk(model: Model, c: Chunk) -> tuple[np.ndarray, ...]:
     context, word = pairs(token, at)
     ctx, ctx_back = np.unique(context, return_inverse=True)
     # a context's entries lie where its keys do: those that several ranges share come from `split`
-    part = np.searchsorted(model.bounds, (ctx >> U64(16)) << U64(40), "right")
-    sums = _find(model, "ctx", "key", part, ctx, [("total", np.int64), ("one", np.uint32), ("two", np.uint32), ("more", np.uint32)])
-    last = np.searchsorted(model.bounds, ((ctx >> U64(16)) << U64(40)) | U64((1 << 40) - 1), "right")
+    high = high_bits(ctx) << U64(40)
+    part = np.searchsorted(model.bounds, high, "right")
+    sums = find_contexts(model, ctx, part)
+    last = np.searchsorted(model.bounds, high | U64((1 << 40) - 1), "right")
     for k in np.flatnonzero(part != last).tolist():
         own = model.split.get(int(ctx[k]))
         if own is None:
             for p in range(int(part[k]) + 1, int(last[k]) + 1):
                 if sums[0][k]:
                     break
-                found = _find(model, "ctx", "key", np.array([p]), ctx[k : k + 1], [("total", np.int64), ("one", np.uint32), ("two", np.uint32), ("more", np.uint32)])
-                for x, y in zip(sums, found, strict=True):
+                for x, y in zip(sums, find_contexts(model, ctx[k : k + 1], np.array([p])), strict=True):
                     x[k] = y[0]
         else:
             for x, y in zip(sums, own, strict=True):
@@ -415,11 +433,11 @@ def score_chunk(model: Model, c: Chunk) -> tuple[np.ndarray, ...]:
     backoff = np.where(sums[0] > 0, (d[1] * sums[1] + d[2] * sums[2] + d[3] * sums[3]) / whole, 1.0)
 
     key, key_first, key_back = np.unique(bigram_key(context, word), return_index=True, return_inverse=True)
-    (n,) = _find(model, "bi", "key", np.searchsorted(model.bounds, key, "right"), key, [("count", np.uint8)])
+    n = find_bigrams(model, key)
     ctx_of = ctx_back[key_first]
     n = np.where(sums[0][ctx_of] > 0, n, 0)
-    high = np.maximum(n - d[np.minimum(n, 3)], 0) / whole[ctx_of]
-    p = high[key_back] + backoff[ctx_back] * low[back]
+    follows = np.maximum(n - d[np.minimum(n, 3)], 0) / whole[ctx_of]
+    p = follows[key_back] + backoff[ctx_back] * low[back]
     rows = c.rows
     return (
         np.diff(at),
@@ -433,8 +451,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of `docs`.
 
     The model learns from the rows whose id's remainder is not 1. A null text is empty: its one token is
-    the end. A null id counts as empty text in the remainder. Repeated rows count each and are scored
-    alike; an empty table gives no rows. With no training rows every token has probability 1.
+    the end. A null id counts as empty text in the remainder. Texts of any length are scored whole, as bytes.
+    Repeated rows count each and are scored alike; an empty table gives no rows. With no training rows every
+    token has probability 1. Only the id and the text are read, whatever other columns are called.
     """
     held_out = remainder(id_col, folds) == 1
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")

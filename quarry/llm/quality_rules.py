@@ -1,14 +1,13 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches per language and source.
 
-Two passes over the texts. The first measures every document and adds its measures to a sketch per
-(language, source): a histogram over logarithmic buckets, which gives any quantile within a fixed
-relative error and merges by adding counts, so that hot groups are summed map-side and no group is
-ever gathered. From each sketch come fences, ``Q3 + spread * max(Q3 - Q1, floor)`` and the like.
-The second pass measures again and joins each document to its group's fences.
+One pass over the texts measures every document and writes the measures beside what is kept of it. They are
+added to a sketch per (language, source): a histogram over logarithmic buckets, which gives any quantile
+within a fixed relative error and merges by adding counts, so that hot groups are summed map-side and no group
+is ever gathered. From each sketch come fences, ``Q3 + spread * max(Q3 - Q1, floor)`` and the like, to which
+each document of the group is joined.
 
 Groups of fewer than `least_rows` documents take the fences of their language, and languages of
-fewer those of the whole corpus. Measures are recomputed, not stored: two reads of the texts cost
-less than a shuffle of them.
+fewer those of the whole corpus.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, spare, spare_prefix
 from .textvec import U64, chunks, mix, windows
 
 SYMBOLS = np.zeros(256, bool)
@@ -106,7 +105,7 @@ def measure_column(column: pa.Array) -> dict[str, np.ndarray]:
 def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "", keep: list[str] | None = None) -> DataFrame:
     """`docs` (or its columns `keep`) with the measures, each a long, as more columns."""
     kept = docs.columns if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__q_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(spare(docs, "text_of")))
 
     def add(batches):
         for batch in batches:
@@ -207,48 +206,56 @@ def judge(
 ) -> DataFrame:
     """`docs` (or its columns `keep`) with the measures, `base_failed` and `kept`, their names after `prefix`.
 
-    A null text has no word and so fails; a null language or source is a group of its own. An empty
-    table gives an empty result, repeated rows are judged alike, and other columns pass through; none
-    may begin with `prefix` if it is not empty.
+    A null text has no word and so fails; a null language or source is a group of its own. Texts of any length are
+    measured whole. An empty table gives an empty result, repeated rows are judged alike, and other columns pass
+    through, whatever they are called but for the result's own names.
 
     The fences are broadcast when there are at most `broadcast_rows` groups, counted first (some 150
     bytes each); beyond that they are joined by shuffle, where adaptive execution splits hot groups.
     """
     kept = docs.columns if keep is None else keep
-    lang, source = F.col(f"`{lang_col}`"), F.col(f"`{source_col}`")
-    narrow = docs.select(F.col(f"`{text_col}`").alias("text"), lang.alias("lang"), source.alias("source"))
-    sketch = cut(sketches(with_measures(narrow, keep=["lang", "source"]), "lang", "source", ""), "quality-sketch")
+    group = [spare(docs, n) for n in ("lang_of", "source_of")]
+    own = spare_prefix(docs, "measured_")
+    wide = docs.select("*", *[F.col(f"`{c}`").alias(n) for c, n in zip((lang_col, source_col), group, strict=True)])
+    measured = cut(with_measures(wide, text_col, own, keep=[*kept, *group]), "quality-measures")
+    sketch = cut(sketches(measured, *group, own), "quality-sketch")
     fence = cut(fences(sketch, least_rows), "quality-fences")
     drop_cut(sketch)
 
     small = fence.count() <= broadcast_rows
     hint = F.broadcast if small else (lambda df: df)
-    wide = docs.select(*[F.col(f"`{c}`") for c in kept], lang.alias("__q_lang"), source.alias("__q_source"), F.col(f"`{text_col}`").alias("__q_t"))
-    measured = with_measures(wide, "__q_t", "__q_m_", keep=[*kept, "__q_lang", "__q_source"])
-    pair = fence.filter("level = 2").select(F.col("lang").alias("__q_l2"), F.col("source").alias("__q_s2"), F.col("fences").alias("__q_f2"))
-    language = fence.filter("level = 1").select(F.col("lang").alias("__q_l1"), F.col("fences").alias("__q_f1"))
-    corpus = fence.filter("level = 0").select(F.col("fences").alias("__q_f0"))
+    levels = [spare(measured, n) for n in ("fence_0", "fence_1", "fence_2", "fence_lang", "fence_source", "fence_only_lang", "fence_all")]
+    f0, f1, f2, l2, s2, l1, every = levels
+    pair = fence.filter("level = 2").select(F.col("lang").alias(l2), F.col("source").alias(s2), F.col("fences").alias(f2))
+    language = fence.filter("level = 1").select(F.col("lang").alias(l1), F.col("fences").alias(f1))
+    # one row at most
+    corpus = fence.filter("level = 0").select(F.col("fences").alias(f0))
+    lang, source = (F.col(n) for n in group)
     joined = (
-        measured.join(hint(pair), F.col("__q_lang").eqNullSafe(F.col("__q_l2")) & F.col("__q_source").eqNullSafe(F.col("__q_s2")), "left")
-        .join(hint(language), F.col("__q_lang").eqNullSafe(F.col("__q_l1")), "left")
+        measured.join(hint(pair), lang.eqNullSafe(F.col(l2)) & source.eqNullSafe(F.col(s2)), "left")
+        .join(hint(language), lang.eqNullSafe(F.col(l1)), "left")
         .join(F.broadcast(corpus), F.lit(True), "left")
-        .withColumn("__q_f", F.coalesce("__q_f2", "__q_f1", "__q_f0"))
+        .withColumn(every, F.coalesce(f2, f1, f0))
     )
-    n = F.col("__q_m_n_words")
-    failed = (n < 50) | (F.col("__q_m_n_repeat_words") * 100 > n * 50)
+    n = F.col(own + "n_words")
+    failed = (n < 50) | (F.col(own + "n_repeat_words") * 100 > n * 50)
     outside = F.lit(False)
     for i, r in enumerate(RULES):
-        value, fence_i = _expr(r.value, "__q_m_"), F.element_at("__q_f", i + 1)
+        value, fence_i = _expr(r.value, own), F.element_at(every, i + 1)
         outside = outside | F.coalesce(value > fence_i if r.side == "above" else value < fence_i, F.lit(False))
     return joined.select(
         *[F.col(f"`{c}`") for c in kept],
-        *[F.col(f"__q_m_{k}").alias(prefix + k) for k in MEASURES],
+        *[F.col(own + k).alias(prefix + k) for k in MEASURES],
         failed.alias(f"{prefix}base_failed"),
         (~failed & ~outside).alias(f"{prefix}kept"),
     )
 
 
 def filter_documents(docs: DataFrame, **options) -> DataFrame:
-    """Only the documents that the rules keep, with the columns of `docs` alone."""
-    judged = judge(docs, **options)
-    return judged.filter("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Only the documents that the rules of `judge` keep, with the columns of `docs` alone.
+
+    Nulls, long texts, repeated rows and an empty table are treated as there; columns may have any names.
+    """
+    prefix = spare_prefix(docs, "judged_")
+    judged = judge(docs, prefix=prefix, **options)
+    return judged.filter(F.col(f"{prefix}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

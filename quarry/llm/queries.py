@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, language_id, line_dedup, lm_score, packing, quality_rules, sharding, simhash, substring_dedup, token_files
-from .common import table
+from .common import file_rows, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +23,11 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.classes(table(spark, sf_dir, "documents"))
+    return line_dedup.classes(table(spark, sf_dir, "documents"), row_key=file_rows())
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"), n_shards=16)
+    return sharding.shard(table(spark, sf_dir, "documents"), n_shards=16, row_key=file_rows())
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.spans(table(spark, sf_dir, "documents"))
+    return substring_dedup.spans(table(spark, sf_dir, "documents"), row_key=file_rows())
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.digests(table(spark, sf_dir, "documents"))
+    return token_files.digests(table(spark, sf_dir, "documents"), row_key=file_rows())
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

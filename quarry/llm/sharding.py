@@ -1,7 +1,7 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-The rows are first held in logical partitions (a hash of the id and text decides, so the result does
-not depend on how Spark happens to split its input). How many rows of each partition go to each
+The rows are first held in logical partitions. A hash of the id, the text and, if it is given, the row's key
+decides, so the result does not depend on how Spark happens to split its input. How many rows of each partition go to each
 shard is drawn exactly, one multivariate hypergeometric draw a partition, so all shard sizes are
 exact and every assignment is equally likely. Rows are permuted within their partition, sent by
 the matrix, and permuted again within their shard.
@@ -16,7 +16,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, target_partitions
+from .common import cut, keyed, target_partitions
+
+#: Rows of the matrix, of some 200 bytes each, that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def communication_matrix(counts: list[int], shard_sizes: list[int], seed: int) -> list[list[int]]:
@@ -57,11 +60,15 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
 
 
 def _values(spark, rows: list[list[int]], p: str, name: str) -> DataFrame:
-    """A local table (p int, name array<bigint>) from literals, without Python data on the executors."""
-    if not rows:
-        rows = [[0]]
-    cells = ",".join(f"({i}, array({','.join(f'{x}L' for x in row)}))" for i, row in enumerate(rows))
-    return spark.sql(f"SELECT * FROM VALUES {cells} AS t({p}, {name})")
+    """A table (p int, name array<bigint>) from one literal, without Python data on the executors."""
+    text = ";".join(",".join(map(str, row)) for row in rows or [[0]])
+    split = spark.range(1).select(F.posexplode(F.split(F.lit(text), ";")).alias(p, "row"))
+    return split.select(p, F.transform(F.split("row", ","), lambda x: x.cast("long")).alias(name))
+
+
+def _joined(rows: DataFrame, small: DataFrame, n_rows: int, on: Column) -> DataFrame:
+    """`rows` with those of a table of known size, which is broadcast if it is no larger than BROADCAST_ROWS."""
+    return rows.join(F.broadcast(small) if n_rows <= BROADCAST_ROWS else small, on)
 
 
 def shard(
@@ -72,28 +79,31 @@ def shard(
     seed: int = 20_240_501,
     rows_per_partition: int = 250_000,
     least_partitions: int = 64,
+    row_key: list[Column] | None = None,
 ) -> DataFrame:
     """One row per row of `docs`: its id, size, text_crc32, law, shard, slot and grown_shard (null).
 
     Shard sizes are n // n_shards or one more. A null text has size 1 and the checksum of no bytes; a
-    null id is an id like others; equal rows are interchangeable and each gets its own slot; an empty
-    table gives no rows. Only the id and the text are read.
+    null id is an id like others; equal rows each get their own slot, and spread over the partitions if `row_key`
+    (see common.keyed) tells them apart; texts of any length are read whole; an empty table gives no rows. Only the id and the text are read,
+    whatever other columns are called.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows, row = keyed(docs, row_key)
     base = cut(
-        docs.select(
+        rows.select(
             F.col(f"`{id_col}`").alias("doc_id"),
             (F.octet_length(text).cast("long") + 1).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.monotonically_increasing_id().alias("__tie"),
+            F.struct(*row).alias("__tie"),
         ),
         "shard-base",
     )
     n = base.count()
 
     def draw(salt: int) -> Column:
-        return F.xxhash64(F.lit(seed), F.lit(salt), "doc_id", "text_crc32", "size")
+        return F.xxhash64(F.lit(seed), F.lit(salt), "doc_id", "text_crc32", "size", *(["__tie"] if row_key else []))
 
     n_parts = target_partitions(n, rows_per_partition, least_partitions)
     placed = base.withColumn("__p", F.pmod(draw(0), F.lit(n_parts)).cast("int"))
@@ -104,8 +114,7 @@ def shard(
 
     local = Window.partitionBy("__p").orderBy(draw(1), "doc_id", "__tie")
     sent = (
-        placed.withColumn("__rank", F.row_number().over(local))
-        .join(F.broadcast(_values(spark, upto, "__mp", "__upto")), F.col("__p") == F.col("__mp"))
+        _joined(placed.withColumn("__rank", F.row_number().over(local)), _values(spark, upto, "__mp", "__upto"), n_parts, F.col("__p") == F.col("__mp"))
         .withColumn("shard", F.size(F.filter("__upto", lambda x: x < F.col("__rank"))).cast("int"))
     )
 
@@ -124,8 +133,8 @@ def shard(
         before.append([0, *np.cumsum(row).tolist()])
     within = Window.partitionBy("shard", "__cell").orderBy("__draw", "doc_id", "__tie")
     return (
-        celled.withColumn("__rank", F.row_number().over(within))
-        .join(F.broadcast(_values(spark, before, "__ms", "__before")), F.col("shard") == F.col("__ms"))
+        # one row a shard
+        _joined(celled.withColumn("__rank", F.row_number().over(within)), _values(spark, before, "__ms", "__before"), n_shards, F.col("shard") == F.col("__ms"))
         .select(
             "doc_id",
             "size",

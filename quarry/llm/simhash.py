@@ -11,71 +11,83 @@ Equal fingerprints are one node. Of the links among the fingerprints that meet u
 spanning forest leaves the task, so groups of copies cost no more rows than they have members.
 
 64 bits alone tell a similarity of 0.8 badly: half of such pairs differ in over 9 bits, and so do some
-unrelated ones. With `extra` words of 64 further bits (other hashes of the same shingles) a wider
-distance finds candidates and the further bits confirm them.
+unrelated ones. `verified` therefore takes a wider distance for candidates, further bits to thin them, and
+the sets of shingles themselves to decide.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, keyed, spare
 from .components import components
-from .textvec import mix
 
 BITS = 64
 SAMPLE = 2048
+#: Variants of a partition's bits that a fingerprint may probe.
+MOST_KEYS = 2000
+#: Rows that are compared in one task.
+MOST_ROWS = 65_536
 
 
-def fingerprint(text: bytes, shingle: int, extra: int = 0) -> np.ndarray:
-    """Bit i is set if it is in over half of the XXH64 (seed 42) of the text's word shingles, repeats included.
-
-    Word k > 0 of the result is the same over the hashes mixed with k.
-    """
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Bit i is set if it is in over half of the XXH64 (seed 42) of the text's word shingles, repeats included."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return np.zeros(1 + extra, np.uint64)
+        return 0
     plain = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(plain, 42)]
-    else:
-        data = np.frombuffer(plain, np.uint8)
-        gaps = np.flatnonzero(data == 32)
-        starts = [0, *(gaps[: len(words) - shingle] + 1).tolist()]
-        ends = [*gaps[shingle - 1 :].tolist(), len(plain)]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(plain[s:e], 42) for s, e in zip(starts, ends, strict=True)]
-    base = np.array(hashes, "<u8")
-    every = np.stack([base, *(mix(base + np.uint64(k)) for k in range(1, extra + 1))], axis=1)
-    bits = np.unpackbits(np.ascontiguousarray(every).view(np.uint8), axis=1, bitorder="little")
-    over = bits.sum(axis=0, dtype=np.uint32) * 2 > len(hashes)
-    return np.packbits(over, bitorder="little").view("<u8")
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, extra: int = 0) -> DataFrame:
-    """(doc_id, fp, fp1, ...): 64 bits each as a signed long; zeros for a null text or one without words."""
-    names = ["fp", *(f"fp{k}" for k in range(1, extra + 1))]
+        return xxhash.xxh64_intdigest(plain, 42)
+    data = np.frombuffer(plain, np.uint8)
+    gaps = np.flatnonzero(data == 32)
+    starts = [0, *(gaps[: len(words) - shingle] + 1).tolist()]
+    ends = [*gaps[shingle - 1 :].tolist(), len(plain)]
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(plain[s:e], 42) for s, e in zip(starts, ends, strict=True)], np.uint64)
+    return int(majority(hashes, np.array([0, len(hashes)]))[0])
+
+
+def majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row its hashes' majority: the bits that over half of h[at[i]:at[i + 1]] have."""
+    number = np.diff(at)
+    has = np.flatnonzero(number)
+    out = np.zeros(len(number), np.uint64)
+    if not len(has):
+        return out
+    # four counters of 16 bits in a word, so rows are counted in runs that cannot overflow them
+    runs = -(-number[has] // 65_535)
+    owner = np.repeat(np.arange(len(has)), runs)
+    first = at[has][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)) * 65_535
+    for b in range(16):
+        lanes = np.add.reduceat((h >> np.uint64(b)) & np.uint64(0x0001000100010001), first)
+        for k in range(4):
+            n = np.bincount(owner, weights=((lanes >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.float64))
+            out[has] |= (n * 2 > number[has]).astype(np.uint64) << np.uint64(16 * k + b)
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """(doc_id, fp): 64 bits as a signed long; zero for a null text or one without words."""
 
     def run(batches):
         for batch in batches:
             column = batch.column(1).cast(pa.large_binary())
-            values = np.zeros((len(column), 1 + extra), np.uint64)
-            for i, x in enumerate(column):
-                values[i] = fingerprint(x.as_py() or b"", shingle, extra)
-            columns = [pa.array(np.ascontiguousarray(values[:, k]).view(np.int64)) for k in range(1 + extra)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+            values = np.array([fingerprint(x.as_py() or b"", shingle) for x in column], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+    return source.mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 # --- the plan: partitions and thresholds -----------------------------------------------------------
@@ -121,28 +133,49 @@ def allocate(cost: np.ndarray, total: int) -> tuple[float, list[int]]:
     return float(best[parts, total]), out[::-1]
 
 
-def plan(sample: np.ndarray, n: int, distance: int) -> list[tuple[int, int]]:
-    """[(mask, threshold)] of least estimated cost for n distinct fingerprints, of which `sample` is one."""
+@dataclass(frozen=True)
+class Plan:
+    """[(mask, threshold)] of each partition, and the part of all pairs that is expected to meet under a key."""
+
+    parts: list[tuple[int, int]]
+    share: float
+
+
+def plan(sample: np.ndarray, n: int, distance: int, classes: np.ndarray | None = None) -> Plan:
+    """Partitions and thresholds of least estimated cost for n distinct fingerprints, of which `sample` are some.
+
+    With `classes`, only fingerprints of the same or neighbouring classes are to meet.
+    """
     bits = ((sample[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
-    apart = np.bitwise_xor.outer(sample, sample)[np.triu_indices(len(sample), 1)] if len(sample) > 1 else np.zeros(0, np.uint64)
+    above = np.triu_indices(len(sample), 1)
+    apart = np.bitwise_xor.outer(sample, sample)[above] if len(sample) > 1 else np.zeros(0, np.uint64)
+    beside, copies = 1.0, 1
+    if classes is not None:
+        close = np.abs(np.subtract.outer(classes, classes)[above]) <= 1 if len(sample) > 1 else np.ones(0, bool)
+        beside, copies = max(float(close.mean()) if len(close) else 1.0, 1e-3), 2
     row_cost, pair_cost = 2e-6, 4e-9  # seconds for a shuffled key and for a verification
     options = []
     for parts in range(2, min(distance + 1, BITS // 4) + 1):
         groups = group_bits(bits, parts) if len(sample) > 1 else [list(range(i, BITS, parts)) for i in range(parts)]
         masks = [sum(1 << b for b in g) for g in groups]
         cost = np.full((parts, distance + 2), np.inf)
+        share = np.zeros((parts, distance + 2))
         cost[:, 0] = 0
         for i, (g, mask) in enumerate(zip(groups, masks, strict=True)):
             near = np.bincount(np.bitwise_count(apart & np.uint64(mask)), minlength=BITS + 1).cumsum() / max(1, len(apart))
             for t in range(0, min(distance, len(g)) + 1):
-                keys = sum(comb(len(g), k) for k in range(t + 1))
-                if keys > 2000:
+                n_keys = sum(comb(len(g), k) for k in range(t + 1))
+                if n_keys > MOST_KEYS:  # never the only way: as many partitions as the distance and one need no variants
                     break
-                share = max(float(near[t]), keys / 2.0 ** len(g))
-                cost[i, t + 1] = n * keys * row_cost + n * n / 2 * share * pair_cost
+                share[i, t + 1] = max(float(near[t]), n_keys / 2.0 ** len(g)) * beside
+                cost[i, t + 1] = n * n_keys * copies * row_cost + n * n / 2 * share[i, t + 1] * pair_cost
         value, thresholds = allocate(cost, distance + 1)
-        options.append((value, [(m, t) for m, t in zip(masks, thresholds, strict=True) if t >= 0]))
-    return min(options)[1]
+        if np.isfinite(value):
+            options.append((value, [(m, t) for m, t in zip(masks, thresholds, strict=True) if t >= 0], max(share[i, t + 1] for i, t in enumerate(thresholds))))
+    if not options:
+        raise ValueError(f"no thresholds cover a distance of {distance}")
+    _, parts, share = min(options)
+    return Plan(parts, share)
 
 
 def signature_deltas(mask: int, threshold: int) -> list[int]:
@@ -156,27 +189,59 @@ def _literal(x: int) -> str:
     return "(-9223372036854775807L - 1L)" if x == -(1 << 63) else f"({x}L)"
 
 
-def keys(nodes: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
-    """`nodes` (with fp) times their keys: (key, probe, ...), `probe` for the variants' keys."""
+def keys(nodes: DataFrame, parts: list[tuple[int, int]], classes: bool = False) -> DataFrame:
+    """`nodes` (with fp) times their keys: (key, probe, ...), `probe` for the variants' keys.
+
+    With `classes` (a column `class`), each is indexed under its own class and probes that and the one below.
+    """
     cells = ", ".join(
-        f"named_struct('part', {i}, 'mask', {_literal(mask)}, 'delta', {_literal(d)})"
+        f"named_struct('part', {i}, 'mask', {_literal(mask)}, 'delta', {_literal(d)}, 'less', {less})"
         for i, (mask, threshold) in enumerate(parts)
         for d in signature_deltas(mask, threshold)
+        for less in ((0, 1) if classes else (0,))
     )
+    own = ", class - s.less" if classes else ""
     return nodes.select("*", F.explode(F.expr(f"array({cells})")).alias("s")).select(
-        F.expr("xxhash64(s.part, (fp ^ s.delta) & s.mask)").alias("key"), (F.col("s.delta") != 0).alias("probe"), *nodes.columns
+        F.expr(f"xxhash64(s.part, (fp ^ s.delta) & s.mask{own})").alias("key"), ((F.col("s.delta") != 0) | (F.col("s.less") != 0)).alias("probe"), *nodes.columns
+    )
+
+
+def dealt(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """`rows` with a first column `cell` in place of `key`: the rows of a key, or two blocks of a key that more than `most` have.
+
+    The rows of such a key lie in blocks by the hash of `by`, and any two of them meet in a cell, which is a task's
+    work of bounded size.
+    """
+    hot = cut(
+        rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select(F.col("key").alias("hot"), F.ceil(F.col("n") * 2 / most).alias("blocks")),
+        "hot-keys",
     )
+    rest = [c for c in rows.columns if c != "key"]
+    if hot.isEmpty():
+        drop_cut(hot)
+        return rows.select(F.col("key").alias("cell"), *rest)
+    block = F.pmod(F.xxhash64(by), F.col("blocks"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(block, j), F.greatest(block, j)))
+    joined = rows.join(hot, F.col("key") == F.col("hot"), "left")
+    return joined.select(F.explode(F.when(F.col("hot").isNull(), F.array("key")).otherwise(cells)).alias("cell"), *rest)
 
 
 # --- verification within keys ----------------------------------------------------------------------
 
 
-def forest(values: np.ndarray, index: np.ndarray, distance: int, more: np.ndarray | None = None, more_distance: int = 0) -> list[tuple[int, int]]:
+def forest(
+    values: np.ndarray,
+    index: np.ndarray,
+    distance: int,
+    more: np.ndarray | None = None,
+    more_distance: int = 0,
+    confirm: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+) -> list[tuple[int, int]]:
     """Spanning links among `values` (u64 fingerprints); pairs of two probes need not be found.
 
     Two are linked within `distance` bits and, if `more` (one row of further words each) is given, within
-    `more_distance` bits of those. Breadth first in blocks, each against those not yet reached: a dense
-    group takes a few passes, and what is unrelated costs |index| * |values| comparisons.
+    `more_distance` bits of those, and if `confirm` says so. Breadth first in blocks, each against those not
+    yet reached: a dense group takes a few passes, and what is unrelated costs |index| * |values| comparisons.
     """
 
     def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,10 +250,19 @@ def forest(values: np.ndarray, index: np.ndarray, distance: int, more: np.ndarra
         if more is not None and len(i):
             close = np.bitwise_count(more[i] ^ more[j]).sum(axis=1, dtype=np.int64) <= more_distance
             i, j = i[close], j[close]
+        if confirm is not None and len(i):
+            i, j = i[i != j], j[i != j]
+            close = confirm(i, j)
+            i, j = i[close], j[close]
         return i, j
 
+    return breadth_first(index, near)
+
+
+def breadth_first(index: np.ndarray, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Spanning links where near(a, b) gives the linked pairs of two lists of places; all but pairs of two places that are not in `index`."""
     pairs: list[tuple[int, int]] = []
-    alive = np.ones(len(values), bool)
+    alive = np.ones(len(index), bool)
     seeds = np.flatnonzero(index)
 
     def room(rest: np.ndarray) -> int:
@@ -250,10 +324,17 @@ def spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def links(nodes: DataFrame, parts: list[tuple[int, int]], distance: int, more_distance: int = 0) -> DataFrame:
-    """(a, b): links among `nodes` (node, fp, fp1, ...) that join all that are close, a forest for each key."""
+def links(nodes: DataFrame, found: Plan, distance: int, more_distance: int = 0, store=None) -> DataFrame:
+    """(a, b): links among `nodes` (node, [class,] fp, fp1, ...) that join all that are close, a forest for each key.
+
+    With a `store` of sets (see sets.Store), only those whose sets are alike.
+    """
+    classes = "class" in nodes.columns
+    rows = keys(nodes, found.parts, classes).drop("class")
 
     def run(batches):
+        confirm = None
+        seen: dict[tuple[int, int], bool] = {}
         for table in sorted_groups(batches):
             index = ~np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in table])
             if len(index) < 2 or not index.any():
@@ -261,12 +342,16 @@ def links(nodes: DataFrame, parts: list[tuple[int, int]], distance: int, more_di
             longs = np.stack([np.concatenate([b.column(k).to_numpy() for b in table]) for k in range(2, table[0].num_columns)], axis=1)
             words = longs[:, 1:].view(np.uint64)
             more = np.ascontiguousarray(words[:, 1:]) if words.shape[1] > 1 else None
-            found = spanning(forest(np.ascontiguousarray(words[:, 0]), index, distance, more, more_distance))
-            if found:
-                i, j = np.array(found).T
+            if store is not None:
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                confirm = store.confirm(longs[:, 0].view(np.uint64), seen)
+            linked = spanning(forest(np.ascontiguousarray(words[:, 0]), index, distance, more, more_distance, confirm))
+            if linked:
+                i, j = np.array(linked).T
                 yield pa.RecordBatch.from_arrays([pa.array(longs[i, 0]), pa.array(longs[j, 0])], ["a", "b"])
 
-    return keys(nodes, parts).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return dealt(rows, "node", MOST_ROWS).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
 def sorted_groups(batches, single: bool = False):
@@ -280,8 +365,12 @@ def sorted_groups(batches, single: bool = False):
         if not batch.num_rows:
             continue
         k = batch.column(0).to_numpy()
-        bounds = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+        bounds = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+        runs = np.arange(len(bounds) - 1)
+        if not single:
+            # lone rows within the batch are skipped; the first and last run may go on beyond it
+            runs = runs[(np.diff(bounds) > 1) | (runs == 0) | (runs == len(runs) - 1)]
+        for s, e in zip(bounds[runs].tolist(), bounds[runs + 1].tolist(), strict=True):
             if held and k[s] != held_key:
                 if single or len(held) > 1 or held[0].num_rows > 1:
                     yield held
@@ -292,44 +381,83 @@ def sorted_groups(batches, single: bool = False):
         yield held
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 4,
-    distance: int = 4,
-    extra: int = 0,
-    more_distance: int = 0,
-) -> DataFrame:
+def planned(distinct: DataFrame, distance: int) -> Plan:
+    """The plan for all fingerprints, from a sample by hash order of SAMPLE at most."""
+    own = ["fp", "class"] if "class" in distinct.columns else ["fp"]
+    rows = distinct.select(*own).orderBy(F.xxhash64(*own)).limit(SAMPLE).collect()
+    sample, first = np.unique(np.array([r["fp"] for r in rows], np.int64).view(np.uint64), return_index=True)
+    classes = np.array([r["class"] for r in rows], np.int64)[first] if len(own) > 1 else None
+    return plan(sample, distinct.count(), distance, classes)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id.
 
-    component_id is the smallest doc_id reachable over links of at most `distance` differing bits (and
-    `more_distance` of the 64 * `extra` further ones). A null or wordless text has fingerprint zero and
-    links like any other; a text of fewer than `shingle` words is one shingle. Repeated rows share a
-    component; rows with a null id have the component of the others that they link to (null if there
-    are none). An empty table gives no rows.
+    component_id is the smallest doc_id reachable over links of at most `distance` differing bits. A null or
+    wordless text has fingerprint zero and links like any other; a text of fewer than `shingle` words is one
+    shingle. Texts of any length are read whole. Repeated rows share a component; rows with a null id have the
+    component of the others that they link to (null if there are none). An empty table gives no rows. Only the
+    id and the text are read, whatever else the columns are called.
     """
-    names = ["fp", *(f"fp{k}" for k in range(1, extra + 1))]
-    node = F.xxhash64(*names) if extra else F.col("fp")
-    marked = cut(fingerprints(docs, id_col, text_col, shingle, extra).withColumn("node", node), "simhash")
-    distinct = cut(marked.groupBy("node", *names).agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    n = distinct.count()
-    # a sample by hash order, of SAMPLE fingerprints at most
-    sample = np.array([r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    parts = plan(np.unique(sample), n, distance)
-    roots = components(links(distinct.select("node", *names), parts, distance, more_distance))
+    marked = cut(fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.col("fp")), "simhash")
+    distinct = cut(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    roots = components(links(distinct.select("node", "fp"), planned(distinct, distance), distance))
     # written, so that the joins below read both sides plainly and a hot group's rows can be split
     joined = cut(distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-roots")
     least = cut(joined.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
     classes = cut(joined.select("node", "root").join(least, "root").select("node", "component_id"), "simhash-classes")
-    drop_cut(distinct)
-    return marked.join(classes, "node").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    for done in (distinct, joined, least):
+        drop_cut(done)
+    return marked.join(classes, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- verified groups -------------------------------------------------------------------------------
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without the rows whose group has a smaller id; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("__q_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__q_gone"), "left_anti")
+def verified(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    distance: int = 19,
+    more_distance: int = 34,
+    row_key: list[Column] | None = None,
+) -> DataFrame:
+    """(doc_id, row keys, group, stays): groups of rows whose sets of word shingles have a similarity of 0.8 or more.
+
+    The fingerprint is that of the set, in 64 bits for the search and 128 more to thin the candidates; each link
+    is confirmed on the whole sets. Only texts of like numbers of shingles meet. First the documents near another in bits
+    are found and their sets written; then these alone are searched again and confirmed. One row of each group stays: the
+    least id, null ids last, and of those of one id the first row. Null texts and those without a word are alike; a text of
+    fewer words than a shingle is one shingle. Texts of any length are read whole; an empty table gives no rows.
+    """
+    from . import sets
+
+    rows, row = keyed(docs, row_key)
+    marked = cut(sets.marked(rows, row, id_col, text_col, shingle), "similar")
+    bits = ["node", "class", "fp", "fp1", "fp2"]
+    distinct = cut(marked.select(*bits).distinct(), "similar-distinct")
+    near = links(distinct, planned(distinct, distance), distance, more_distance)
+    near = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-near")
+    candidates = cut(distinct.join(near, "node", "left_semi"), "similar-candidates")
+    store = sets.store(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), near, shingle)
+    roots = components(links(candidates, planned(candidates, distance), distance, more_distance, store))
+    # written, so that the joins read both sides plainly and a hot group's rows can be split
+    named = cut(marked.drop("class", "fp", "fp1", "fp2").join(roots, "node", "left").select("doc_id", *row, F.coalesce("root", "node").alias("group")), "similar-groups")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", *row)
+    first = cut(named.groupBy("group").agg(F.min(rank).alias("first")), "similar-first")
+    for done in (marked, distinct, near, candidates):
+        drop_cut(done)
+    store.drop(docs.sparkSession)
+    return named.join(first, "group").select("doc_id", *row, "group", rank.eqNullSafe(F.col("first")).alias("stays"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_key: list[Column] | None = None, **options) -> DataFrame:
+    """One row of each group of `verified`, with the columns of `docs`; equal rows are alike and one stays."""
+    rows, row = keyed(docs, row_key)
+    found = verified(rows, id_col, text_col, row_key=[F.col(r) for r in row], **options)
+    names = [spare(rows, f"gone{k}") for k in range(len(row))]
+    own = found.columns[1 : 1 + len(row)]
+    gone = found.filter("not stays").select(*[F.col(c).alias(n) for c, n in zip(own, names, strict=True)])
+    same = [F.col(r) == F.col(n) for r, n in zip(row, names, strict=True)]
+    return rows.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -107,6 +107,16 @@ def chunks(column: pa.Array, lower: bool = False, most: int = 2 << 20) -> Iterat
         i = j
 
 
+def valid(c: Chunk) -> Chunk:
+    """The chunk with replacement characters where its bytes are no UTF-8."""
+    try:
+        c.data.tobytes().decode()
+        return c
+    except UnicodeDecodeError:
+        rows = [c.data[s:e].tobytes().decode(errors="replace").encode() for s, e in zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist(), strict=True)]
+        return Chunk(c.first, np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)]))
+
+
 def windows(word_hash: np.ndarray, at: np.ndarray, n: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-word windows of each row, in order, and `at` for them.
 

@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, make_dirs, mapped, writing
+from .common import fresh, keyed, make_dirs, mapped, writing
 from .tokens import encoded, vocabulary_path
 
 END = 2
@@ -80,18 +80,21 @@ def write(
     length: int = 2048,
     end: int = END,
     vocabulary: str | None = None,
+    row_key: list[Column] | None = None,
 ) -> list[TokenFile]:
     """Write the corpus below `path`; the files in ascending document order.
 
     A null text is empty and has the end id alone; a null id comes first; rows of equal ids follow one
-    another in any order; an empty table writes nothing. Ids are stored in 16 bits where the vocabulary
-    and the end id allow it. Only the id and the text are read.
+    another in the order of `row_key` (see common.keyed), so that many of one id spread too; bytes that are no UTF-8
+    are read as replacement characters; texts of any length are written whole; an empty table writes nothing. Ids are
+    stored in 16 bits where the vocabulary and the end id allow it. Only the id and the text are read, whatever
+    other columns are called.
     """
     vocabulary = vocabulary or vocabulary_path()
     spark = docs.sparkSession
     make_dirs(spark, path)
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
+    keyed_rows, row = keyed(docs, row_key)
+    source = keyed_rows.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *row)
 
     def run(batches):
         from pyspark import TaskContext
@@ -101,12 +104,11 @@ def write(
         number = TaskContext.get().partitionId()
         small = max(encoder(vocabulary).tokenizer.get_vocab_size() - 1, end) < 1 << 16
         width, dtype = (pa.uint16(), np.uint16) if small else (pa.uint32(), np.uint32)
-        name = f"{path}/part-{number:06d}"
+        name = f"{path}/part-{number:09d}"
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
         total = rows = 0
-        least = first.column(0)[0].as_py()
         with writing(f"{name}.arrow") as sink, writing(f"{name}.index.arrow") as index_sink:
             sequences = SequenceWriter(sink, length, width)
             schema = pa.schema([("doc_id", first.column(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -125,11 +127,11 @@ def write(
             sequences.close()
             index.close()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([name]), pa.array([least], first.column(0).type), pa.array([total]), pa.array([rows])], ["name", "least", "tokens", "rows"]
+            [pa.array([name]), pa.array([total]), pa.array([rows])], ["name", "tokens", "rows"]
         )
 
-    parts = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, f"name string, least {kind}, tokens long, rows long").collect()
-    parts.sort(key=lambda r: (r["least"] is not None, r["least"], r["name"]) if r["least"] is not None else (False, 0, r["name"]))
+    parts = source.repartitionByRange("doc_id", *row).sortWithinPartitions("doc_id", *row).mapInArrow(run, "name string, tokens long, rows long").collect()
+    parts.sort(key=lambda r: r["name"])  # numbered as the ranges are
     out, start = [], 0
     for r in parts:
         out.append(TokenFile(r["name"], start, r["tokens"], r["rows"]))

@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-from .textvec import LOWER, SPACE, U64, Chunk, chunks
+from .textvec import LOWER, SPACE, U64, Chunk, chunks, valid
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -195,5 +195,5 @@ def encoder(path: str) -> Encoder:
 def encoded(column, path: str, end: int):
     """(first row, ids, at) for parts of an Arrow text column in order: row first + i has ids[at[i]:at[i + 1]], the end id last."""
     enc = encoder(path)
-    for c in chunks(column):
+    for c in map(valid, chunks(column)):
         yield c.first, *enc.encode(c, end)

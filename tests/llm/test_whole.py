@@ -7,7 +7,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
-from quarry.llm import keysets, lm_score, packing
+from quarry.llm import common, keysets, lm_score, packing
 from test_operators import components_of
 
 
@@ -61,14 +61,14 @@ def test_pipeline_removes_short_repeated_lines(spark, sf_dir):
 
 def test_local_search_takes_all_sequences_of_two_patterns():
     # 200,000 sequences of two 40s, as many of one 60 twice: the 60s belong with the 40s
-    runs = [((40, 40), 200_000), ((60,), 400_000)]
+    runs = [(((40, 2),), 200_000), (((60, 1),), 400_000)]
     better = packing.local_search(runs, 100)
     assert sum(n for _, n in better) == 400_000
     held = collections.Counter()
     for pattern, n in better:
-        assert sum(pattern) <= 100
-        for x in pattern:
-            held[x] += n
+        assert packing.fill(pattern) <= 100
+        for x, k in pattern:
+            held[x] += n * k
     assert held == {40: 400_000, 60: 400_000}
 
 
@@ -82,15 +82,24 @@ def test_only_a_missing_file_is_an_empty_range(monkeypatch):
 
         return opened
 
-    model = lm_score.Model.__new__(lm_score.Model)
-    object.__setattr__(model, "path", "store://host/lm")
-    for module in (keysets, lm_score):
-        monkeypatch.setattr(module, "mapped", failing(OSError("connection reset")))
+    monkeypatch.setattr(common, "mapped", failing(OSError("connection reset")))
     with pytest.raises(OSError):
         keysets.KeySet("store://host/a", 1).contains(np.array([5], np.uint64))
     with pytest.raises(OSError):
-        lm_score._exists(model, "bi-0.keys")
-    for module in (keysets, lm_score):
-        monkeypatch.setattr(module, "mapped", failing(FileNotFoundError("no such key")))
+        lm_score._get("store://host/lm/0.bi")
+    monkeypatch.setattr(common, "mapped", failing(FileNotFoundError("no such key")))
     assert not keysets.KeySet("store://host/a", 1).contains(np.array([5], np.uint64)).any()
-    assert not lm_score._exists(model, "bi-0.keys")
+    assert lm_score._get("store://host/lm/0.bi") is None
+
+
+def test_mappings_of_a_worker_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "MOST_OPEN", 5)
+    monkeypatch.setattr(common, "_OPEN", collections.OrderedDict())
+    parts = 40
+    keys = np.arange(parts, dtype=np.uint64) * np.uint64((1 << 64) // parts) + np.uint64(1 << 40)
+    for p, k in zip(keysets.ranges(keys, parts).tolist(), keys, strict=True):
+        (tmp_path / f"{p}.keys").write_bytes(np.array([k]).tobytes())
+    own = keysets.KeySet(f"file://{tmp_path}", parts)
+    for _ in range(2):
+        assert own.contains(np.concatenate([keys, keys + np.uint64(1)])).tolist() == [True] * parts + [False] * parts
+        assert len(common._OPEN) == 5
