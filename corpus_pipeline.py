@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from quarry.llm import decontaminate, line_dedup, packing, quality_rules, similar
-from quarry.llm.common import fresh, table
+from quarry.llm import decontaminate, line_dedup, packing, quality_rules, simhash
+from quarry.llm.common import file_rows, fresh, remove, table
+
+
+def rows_of(docs: DataFrame) -> list[Column] | None:
+    """What tells the rows apart: their places in the files that `docs` is read from, or None where it is not."""
+    try:
+        docs.select(*file_rows())
+    except AnalysisException:
+        return None
+    return file_rows()
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines near an earlier one go, however short, and documents of which nothing is left."""
-    return line_dedup.without_duplicates(docs, least_chars=0)
+    return line_dedup.without_duplicates(docs, row_key=rows_of(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: linked at a five-word shingle similarity of 0.8 or more, which is verified."""
-    return similar.keep_first(docs)
+    """One document of each group stays: near in SimHash bits and of a five-word shingle similarity of 0.8 or more."""
+    return simhash.keep_first(docs, row_key=rows_of(docs))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +58,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over `documents`: each stage's result is written, reread as the next one's input and then deleted.
+
+    Null texts and those without words go in the first stage, null ids rank as the stages' operators say; texts of any
+    length are treated whole; of equal rows one is left by the third stage; an empty table gives no rows; columns that
+    `documents` has beside its own go along unread, whatever they are called, up to the last stage.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
