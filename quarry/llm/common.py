@@ -16,8 +16,8 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A worker holds at most so many files open, and so many bytes of those that it cannot map.
-MOST_OPEN, MOST_READ = 192, 256 << 20
+#: A worker holds at most so many files open, and so many bytes of them mapped or read.
+MOST_OPEN, MOST_BYTES = 192, 96 << 20
 
 _OPEN: OrderedDict[str, tuple[object, int]] = OrderedDict()
 
@@ -151,8 +151,8 @@ def opened(uri: str, parse: Callable):
         buffer = mapped(uri)
     except FileNotFoundError:
         return None
-    _OPEN[uri] = parse(buffer), 0 if _local(uri) is not None else buffer.size
-    while len(_OPEN) > 1 and (len(_OPEN) > MOST_OPEN or sum(n for _, n in _OPEN.values()) > MOST_READ):
+    _OPEN[uri] = parse(buffer), buffer.size
+    while len(_OPEN) > 1 and (len(_OPEN) > MOST_OPEN or sum(n for _, n in _OPEN.values()) > MOST_BYTES):
         _OPEN.popitem(last=False)
     return _OPEN[uri][0]
 
