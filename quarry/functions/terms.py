@@ -85,6 +85,13 @@ def url_parameter(url: Column, name: str) -> Column:
     return F.regexp_extract(url, f"[?&]{name}=([^&#]*)", 1)
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value in the inside of a tag, in double, single or no quotes; null if it is not there."""
+    start = rf"(?is)(?:^|\s){name}\s*=\s*"
+    value = F.coalesce(*[F.when(tag.rlike(start + own), F.regexp_extract(tag, start + own, 1)) for own in ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")])
+    return value
+
+
 def xml_path(xml: Column, path: str) -> Column:
     """The text of the first element at a path /a/b/c, empty if there is none."""
     return F.coalesce(F.xpath_string(xml, F.lit(path)), F.lit(""))

@@ -16,6 +16,8 @@ from ..functions.terms import after, before, field_of, legal, stored_number, tok
 
 #: Queues longer than these make `settled` purge.
 REPLACED_LIMIT, DELETED_LIMIT = 100, 50
+#: Stop-listed words that are broadcast; more are joined by shuffle.
+BROADCAST_WORDS = 100_000
 
 POSTINGS = "term string, page_id bigint, gen int"
 PAGES = "page_id bigint"
@@ -144,8 +146,14 @@ class Index:
             gone = value.rlike(f"^(?:{'|'.join(words)})$") if words else F.lit(False)
             return replace(self, postings=self.postings.filter(~gone))
         stop = self.postings.sparkSession.createDataFrame([(w,) for w in words], "word string")
-        by_value = self.postings.withColumn("value", value).join(F.broadcast(stop), F.col("value") == F.col("word"), "left_anti").drop("value")
-        return replace(self, postings=by_value.join(F.broadcast(stop), term == F.col("word"), "left_anti"))
+        if len(words) <= BROADCAST_WORDS:
+            stop = F.broadcast(stop)
+        by_value = self.postings.withColumn("value", value).join(stop, F.col("value") == F.col("word"), "left_anti").drop("value")
+        return replace(self, postings=by_value.join(stop, term == F.col("word"), "left_anti"))
+
+    def remove_all(self) -> Index:
+        """Without any page or queue; pages can be added again."""
+        return Index.empty(self.postings.sparkSession)
 
     def merge(self, other: Index, displacement: DataFrame) -> Index:
         """With the other index's postings, its pages renumbered by (old_id, new_id); pages without a number are left out."""

@@ -8,6 +8,7 @@ matches is joined to the postings on the term. Every page's score is the sum of
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -21,6 +22,8 @@ from .query import SearchOptions, compile_terms, query_frame
 BLOCK_TERMS = 10_000
 #: Matched terms, of 63 bytes at most each, that are broadcast to the postings.
 BROADCAST_TERMS = 100_000
+#: Pages of one score that are numbered together.
+CELL_PAGES = 50_000
 
 
 def matches_text(kind_field: bool, mode: str, text: str, right_partial_only: bool = False) -> Column:
@@ -130,19 +133,18 @@ def lookup(index: Index, block: Block, options: SearchOptions, dictionary: DataF
     """
     found = None
     if parts := _matched_terms(block, dictionary if dictionary is not None else index.dictionary, options):
-        terms = reduce(DataFrame.unionByName, parts).persist()
-        # counted first: few terms are broadcast and the postings stay where they are, many are joined by shuffle
-        few = terms.count() <= BROADCAST_TERMS
-        found = index.postings.join(F.broadcast(terms) if few else terms, "term").select("query_id", "ord", "page_id")
+        terms = reduce(DataFrame.unionByName, parts)
+        # looked at first: few terms are broadcast and the postings stay where they are, many are joined by shuffle
+        some = terms.limit(BROADCAST_TERMS + 1).toArrow()
+        few = some.num_rows <= BROADCAST_TERMS
+        own = F.broadcast(block.spark.createDataFrame(some, terms.schema)) if few else terms
+        found = index.postings.join(own, "term").select("query_id", "ord", "page_id")
     if every := block.every():
         own = index.indexed_pages().join(block.local(every, ["query_id", "ord"]), F.lit(True)).select("query_id", "ord", "page_id")
         found = own if found is None else found.unionByName(own)
     if found is None:
         return block.spark.createDataFrame([], "query_id int, ord int, page_id bigint")
-    if twins := block.twins():
-        more = found.join(block.local(twins, ["query_id", "ord", "base_ord"]), ["query_id", "ord"])
-        found = found.unionByName(more.select("query_id", F.col("base_ord").alias("ord"), "page_id"))
-    return found.distinct()
+    return _with_twins(found, block)
 
 
 def rank(found: DataFrame, compiled: DataFrame, options: SearchOptions) -> DataFrame:
@@ -169,19 +171,47 @@ def rank(found: DataFrame, compiled: DataFrame, options: SearchOptions) -> DataF
     )
 
 
-def with_quality(ranked: DataFrame) -> DataFrame:
-    """`ranked` with position (from 0, by score, then page) and quality_pct (1 to 100).
+def with_quality(ranked: DataFrame, limit: int = -1) -> DataFrame:
+    """`ranked` with position (from 0, by score, then page) and quality_pct (1 to 100); the first `limit` of each query, or all.
 
     A page's quality is its share of the most that its query could give, drawn towards the mean of up to
     three pages before it, less a few points for late positions of long results.
+
+    No task ever holds a query's whole result. The pages of one score lie in cells of page ids, some CELL_PAGES each;
+    counting the cells gives where each begins, and what the three pages before the first of a score have. Only
+    within a cell are pages numbered. `ranked` holds a block of queries, so a row for each is small.
     """
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "page_id")
-    q, i, n = F.col("q"), F.col("position"), F.col("n")
-    df = ranked.withColumn("q", F.col("score") - F.col("threshold"))
-    df = df.withColumn("position", F.row_number().over(order) - 1)
-    df = df.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
-    df = df.withColumn("before", F.sum("q").over(order.rowsBetween(-3, -1))).withColumn("k", F.least(i, F.lit(3)))
-    df = df.withColumn("gap", F.when(i > 0, F.expr("(before div k - q) div (5 - k)")).otherwise(F.lit(0)))
+    q, n = F.col("q"), F.col("n")
+    totals = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.min("page_id").alias("low"), F.max("page_id").alias("high"))
+    width = F.expr("(high - low) div ceil(n / CELL) + 1".replace("CELL", str(CELL_PAGES)))
+    rows = ranked.join(F.broadcast(totals.select("query_id", "n", "low", width.alias("width"))), "query_id")
+    rows = rows.select("*", (F.col("score") - F.col("threshold")).alias("q"), F.expr("(page_id - low) div width").alias("cell")).drop("low", "width")
+
+    cells = rows.groupBy("query_id", "score", "cell").agg(F.count("*").alias("size"), F.first("q").alias("q"))
+    in_order = Window.partitionBy("query_id").orderBy(F.desc("score"), "cell")
+    cells = cells.withColumn("before", F.sum("size").over(in_order) - F.col("size"))
+    by_score = Window.partitionBy("query_id", "score")
+    cells = cells.withColumn("begin", F.min("before").over(by_score)).withColumn("pages", F.sum("size").over(by_score))
+    # three cells of greater scores hold the three pages before a score's first one
+    last = cells.select("query_id", "score", "q", "pages").distinct()
+    three = F.collect_list(F.struct("q", "pages")).over(Window.partitionBy("query_id").orderBy(F.desc("score")).rowsBetween(-3, -1))
+    values = F.flatten(F.transform(three, lambda x: F.array_repeat(x["q"], F.least(x["pages"], F.lit(3)).cast("int"))))
+    last = last.select("query_id", "score", F.reverse(values).alias("last"))
+    places = cells.select("query_id", "score", "cell", "before", "begin").join(last, ["query_id", "score"])
+
+    own = Window.partitionBy("query_id", "score", "cell").orderBy("page_id")
+    df = rows.withColumn("number", F.row_number().over(own))
+    if limit >= 0:
+        df = df.filter(F.col("number") <= limit)
+        places = places.filter(F.col("before") < limit)
+    df = df.join(places, ["query_id", "score", "cell"]).withColumn("position", F.col("before") + F.col("number") - 1)
+    if limit >= 0:
+        df = df.filter(F.col("position") < limit)
+    i = F.col("position")
+    df = df.withColumn("alike", F.least(i - F.col("begin"), F.lit(3)).cast("int")).withColumn("k", F.least(i, F.lit(3)))
+    others = F.aggregate(F.slice("last", F.lit(1), F.lit(3) - F.col("alike")), F.lit(0).cast("bigint"), lambda x, y: x + y)
+    df = df.withColumn("sum", F.col("alike") * q + others)
+    df = df.withColumn("gap", F.when(i > 0, F.expr("(sum div k - q) div (5 - k)")).otherwise(F.lit(0)))
     df = df.withColumn("base", F.when(n > 10000, 30).when(n > 5000, 20).otherwise(10))
     df = df.withColumn("weak", F.expr("least(10, (base * position) div n)"))
     df = df.withColumn("pct", F.expr("((q + gap) * 100) div max_quality"))
@@ -189,6 +219,20 @@ def with_quality(ranked: DataFrame) -> DataFrame:
     return df.select("query_id", "page_id", "score", i.cast("int").alias("position"), quality.cast("int").alias("quality_pct"), "threshold", "max_quality")
 
 
+def ranker_maximum(compiled: DataFrame, options: SearchOptions) -> DataFrame:
+    """(query_id, maximum): the most that a page can score above its query's threshold."""
+    mandatory = F.sum(F.when(F.col("occ") == "+", 1).otherwise(0)) * options.mandatory_bonus
+    return compiled.groupBy("query_id").agg((F.sum(F.greatest("signed", F.lit(0))) - mandatory).cast("int").alias("maximum"))
+
+
+def _with_twins(found: DataFrame, block: Block) -> DataFrame:
+    """The pages of each term with those of its field twins, distinct."""
+    if twins := block.twins():
+        more = found.join(block.local(twins, ["query_id", "ord", "base_ord"]), ["query_id", "ord"])
+        found = found.unionByName(more.select("query_id", F.col("base_ord").alias("ord"), "page_id"))
+    return found.distinct()
+
+
 def search(
     index: Index,
     query: str | list[str] | DataFrame,
@@ -197,11 +241,12 @@ def search(
     limit: int = -1,
     include_pending: bool = True,
     dictionary: DataFrame | None = None,
+    cache: CachedSearch | None = None,
 ) -> DataFrame:
     """(query_id, page_id, score, position, quality_pct, ...) for one query, several, or a table of query terms.
 
     limit: the first so many results of each query, -1 for all. Without `include_pending` the index is
-    searched as it will be after the purge.
+    searched as it will be after the purge. A `cache` of the same index and options looks terms up that it has not kept.
     """
     options = options or SearchOptions()
     terms = query if isinstance(query, DataFrame) else query_frame(index.postings.sparkSession, query)
@@ -211,11 +256,10 @@ def search(
     for b in range(blocks):
         part = terms if blocks == 1 else terms.filter(F.pmod(F.hash("query_id"), F.lit(blocks)) == b)
         block = Block(compile_terms(part, options, weak_words))
-        found = lookup(index, block, options, dictionary)
-        own = rank(found, block.terms, options)
+        found = cache.lookup(block) if cache is not None else lookup(index, block, options, dictionary)
+        own = with_quality(rank(found, block.terms, options), limit)
         result = own if result is None else result.unionByName(own)
-    ranked = with_quality(result)
-    return ranked if limit < 0 else ranked.filter(F.col("position") < limit)
+    return result
 
 
 def render(results: DataFrame, pages: DataFrame) -> DataFrame:
@@ -235,16 +279,32 @@ class CachedSearch:
     hits: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("exact_cs", "exact_ci", "partial_cs", "partial_ci"), 0))
 
     def find(self, text: str, mode: str = "partial_ci") -> DataFrame:
+        """The pages of a word."""
+
+        def look_up() -> DataFrame:
+            style = "exact" if mode.startswith("exact") else "prefix" if self.options.right_partial_only else "infix"
+            return find(self.index, text, style, mode.endswith("_cs"))
+
+        return self._get(mode, text, look_up)
+
+    def lookup(self, block: Block) -> DataFrame:
+        """(query_id, ord, page_id) of the block's terms, each from the cache or looked up once."""
+        frames = []
+        for r in block.rows:
+            alone = Block(block.terms.filter((F.col("query_id") == r["query_id"]) & (F.col("ord") == r["ord"])))
+            pages = self._get(r["mode"], r["text"], lambda alone=alone: lookup(self.index, alone, self.options).select("page_id").distinct())
+            frames.append(pages.select(F.lit(r["query_id"]).alias("query_id"), F.lit(r["ord"]).alias("ord"), "page_id"))
+        found = reduce(DataFrame.unionByName, frames) if frames else block.spark.createDataFrame([], "query_id int, ord int, page_id bigint")
+        return _with_twins(found, block)
+
+    def _get(self, mode: str, text: str, look_up: Callable[[], DataFrame]) -> DataFrame:
         self.invalidate(self.life)
         self.requests[mode] += 1
         if (mode, text) in self._kept:
             self.hits[mode] += 1
-            return self._kept[mode, text][1]
-        exact = mode.startswith("exact")
-        style = "exact" if exact else "prefix" if self.options.right_partial_only else "infix"
-        found = find(self.index, text, style, mode.endswith("_cs")).persist()
-        self._kept[mode, text] = (time.time(), found)
-        return found
+        else:
+            self._kept[mode, text] = (time.time(), look_up().persist())
+        return self._kept[mode, text][1]
 
     def invalidate(self, older_than: float = 0) -> None:
         """Drop what is older than so many seconds; 0 drops all."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,9 +134,15 @@ def idx_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).stats()
 
 
-@register("is_indexed", f"WITH {O.WORDS} SELECT x::BIGINT AS page_id, x IN (SELECT page_id FROM postings) AS indexed FROM range(-5, 2000) t(x)")
+@register(
+    "is_indexed",
+    f"""WITH {O.WORDS} SELECT page_id, page_id IN (SELECT page_id FROM postings) AS indexed
+        FROM (SELECT doc_id AS page_id FROM documents UNION SELECT -1 - doc_id FROM documents) WHERE page_id IS NOT NULL""",
+)
 def is_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(spark, sf_dir).is_indexed(spark.range(-5, 2000).select(F.col("id").alias("page_id")))
+    """All documents, and as many pages that are none."""
+    own = table(spark, sf_dir, "documents").select(F.explode(F.array("doc_id", -1 - F.col("doc_id"))).alias("page_id"))
+    return words(spark, sf_dir).is_indexed(own.filter("page_id is not null").distinct())
 
 
 # --- match modes -----------------------------------------------------------------------------------
@@ -156,7 +163,7 @@ for _mode, _text in (("exact", "than"), ("prefix", "than"), ("infix", "eder")):
     _find(f"find_{_mode}_ci", _text.capitalize(), _mode, False)
 _find("find_infix_accent", "CIÓN", "infix", False)
 _find("find_short_the", "the", "exact", True)
-for _mode, _text in (("exact", "Than"), ("prefix", "Th"), ("infix", "an")):
+for _mode, _text in (("exact", "the"), ("prefix", "Th"), ("infix", "an")):
     _find(f"field_{_mode}_cs", _text, _mode, True, "TITLE", tagged, O.TAGGED)
     _find(f"field_{_mode}_ci", _text, _mode, False, "TITLE", tagged, O.TAGGED)
 _find("field_lang", "DE", "exact", False, "LANG", meta, O.META)
@@ -275,6 +282,34 @@ _search("search_fields", [["TITLE:than", "+than"], ["TITLE:'The'", "the"], ["tit
 _search("field_base_union", [["than", "TITLE:than"], ["Than", "TITLE:than"]], make=tagged, ctes=O.TAGGED)
 _search("search_metas", [["n_chars>3000", "+quality=1"], ["toxic=1", "-LANG:de"], ["SOURCE:src1", "+n_chars<500"], ["n_chars>abc"]], make=meta, ctes=O.META)
 
+_FLAGSHIP_SQL = f"{O.raw_values([(0, 0, '+than'), (0, 1, 'tion'), (0, 2, '-eder')])}, {O.compiled(SearchOptions())}"
+
+
+@register("search_cached", f"WITH {O.WORDS}, {O.PARTS}, {_FLAGSHIP_SQL}, {O.RANKED} SELECT {', '.join(_RESULT)}, 3 AS hits FROM results")
+def search_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query twice through one cache: the second time every term is kept already."""
+    index = words(spark, sf_dir)
+    cache = S.CachedSearch(index)
+    for _ in range(2):
+        found = S.search(index, ["+than tion -eder"], cache=cache)
+    return found.select(*_RESULT, F.lit(sum(cache.hits.values())).alias("hits"))
+
+
+@register("rank_maximum", f"WITH {O.raw_values(list((0, k, r) for k, r in enumerate(_RAW)))}, {O.compiled(SearchOptions())} "
+          "SELECT query_id, (sum(greatest(signed, 0)) - sum(CASE WHEN occ = '+' THEN bonus ELSE 0 END))::INTEGER AS maximum FROM compiled GROUP BY query_id")
+def rank_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.ranker_maximum(compile_terms(raw_terms(spark)), SearchOptions())
+
+
+@register("search_events", """WITH postings AS (SELECT event_id AS page_id, 'k=' || (props::JSON->>'k') AS term FROM events UNION ALL SELECT event_id, 'KIND:' || event_type FROM events), """
+          f"{O.PARTS}, {O.raw_values([(0, 0, 'k>49'), (0, 1, 'KIND:click')])}, {O.compiled(SearchOptions())}, {O.RANKED} SELECT {', '.join(_RESULT)} FROM results")
+def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result of thousands of pages: the larger values of the points for late positions."""
+    own = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    index = build_index(own, "event_id", None, fields={"KIND": F.col("event_type")}, metas={"k": F.col("k")})
+    return S.search(index, ["k>49 KIND:click"]).select(_RESULT)
+
+
 # eleven title terms pass a missing mandatory term's hundred
 _SOFT = [f"TITLE:soft{k}" for k in range(11)]
 _SOFT_ROWS = [(t, 1) for t in _SOFT] + [("must", 2), (_SOFT[0], 2), ("must", 3), ("gone", 3)] + [(t, 3) for t in _SOFT[:3]]
@@ -385,9 +420,10 @@ def merge_disp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).merge(other, disp).postings.select("term", "page_id")
 
 
-@register("remove_all", "SELECT 0::BIGINT AS rows")
+@register("remove_all", f"WITH {_AGAIN} SELECT term, page_id, 0 AS gen FROM again")
 def remove_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Index.empty(spark).postings.agg(F.count("*").alias("rows"))
+    """A full index with queues is emptied; what is added then is all there is, and none of it replaces anything."""
+    return _replaced(spark, sf_dir).remove_all().add_pages(_replacement(spark, sf_dir)).postings.select("term", "page_id", "gen")
 
 
 # --- files -----------------------------------------------------------------------------------------
@@ -397,13 +433,16 @@ _LINES = ["alpha 1 3 5-8", "", "beta 2", "gamma 1 x 3", "delta 4-4 9", "alpha 2
 
 @register(
     "io_load_text",
-    "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {p}::BIGINT)" for t, ps in (("alpha", (1, 2, 3, 5, 6, 7, 8)), ("beta", (2,)), ("delta", (4, 9)), ("eps", (1, 2, 10, 11, 12))) for p in ps) + ") v(term, page_id)",
+    "WITH lines AS (SELECT regexp_split_to_array(rtrim(value), ' +') AS p FROM (VALUES " + ", ".join(f"('{x}')" for x in _LINES) + """) v(value)),
+      own AS (SELECT p[1] AS term, p[2:] AS ids FROM lines WHERE len(p) > 1 AND p[1] <> ''),
+      legal AS (SELECT term, unnest(ids) AS id FROM own WHERE len(list_filter(ids, lambda x: NOT regexp_full_match(x, '[0-9]+(-[0-9]+)?'))) = 0)
+      SELECT DISTINCT term, unnest(range(split_part(id, '-', 1)::BIGINT, (CASE WHEN contains(id, '-') THEN split_part(id, '-', 2) ELSE id END)::BIGINT + 1)) AS page_id FROM legal""",
 )
 def io_load_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_text(spark.createDataFrame([(x,) for x in _LINES], "value string"))
 
 
-@register("io_dump_text", f"WITH {O.WORDS} SELECT term || ' ' || string_agg(page_id::VARCHAR, ' ' ORDER BY page_id) AS value FROM postings GROUP BY term")
+@register("io_dump_text", f"WITH {O.WORDS} SELECT term || ' ' || string_agg(page_id::VARCHAR, ' ' ORDER BY page_id) AS value FROM postings GROUP BY term, page_id // {files.CELL_PAGES}")
 def io_dump_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.dump_text(words(spark, sf_dir))
 
@@ -422,12 +461,39 @@ def io_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_text(files.dump_text(words(spark, sf_dir), runs=True))
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path in a folder that executors share: that of `spark.checkpoint.dir`, or the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/quarry-index/{name}-{uuid.uuid4().hex}"
+
+
+@register("io_parquet", f"WITH {O.WORDS} SELECT term, page_id FROM postings")
+def io_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _shared(spark, "index")
+    files.write_index(words(spark, sf_dir), path)
+    return files.read_index(spark, path).postings.select("term", "page_id")
+
+
+@register("io_binary", f"WITH {O.WORDS} SELECT term, page_id, 0 AS gen FROM postings")
+def io_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.load_files(files.binary_files(words(spark, sf_dir))).postings
+
+
+@register("io_binary_older", f"WITH {O.WORDS} SELECT term, page_id, 0 AS gen FROM postings")
+def io_binary_older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.load_files(files.binary_files(words(spark, sf_dir), older=True), older=True).postings
+
+
 # --- statistics and small functions ----------------------------------------------------------------
 
 _METRICS = [("exact_cs", 10, 200, 50), ("exact_ci", 4, 80, 20), ("partial_cs", 7, 0, 0), ("partial_ci", 30, 1000, 900)]
 
 
-@register("stats_cache", "SELECT 51::BIGINT AS size, 1280::BIGINT AS requests, 970::BIGINT AS hits, 35.0::DOUBLE AS hitrate")
+@register(
+    "stats_cache",
+    "SELECT sum(size)::BIGINT AS size, sum(requests)::BIGINT AS requests, sum(hits)::BIGINT AS hits, avg(CASE WHEN requests > 0 THEN hits * 100.0 / requests ELSE 0 END)::DOUBLE AS hitrate FROM (VALUES "
+    + ", ".join(map(str, _METRICS)) + ") v(level, size, requests, hits)",
+)
 def stats_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cache_stats(spark.createDataFrame(_METRICS, "level string, size int, requests int, hits int"))
 
@@ -455,10 +521,10 @@ def xml_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "entity_decode",
     """SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS decoded,
-       replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS encoded FROM (SELECT page_id, substr(html, 1, 400) || '&amp;lt; &lt;b&gt; &quot;x&apos;' AS t FROM pages)""",
+       replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS encoded FROM (SELECT page_id, html || '&amp;lt; &lt;b&gt; &quot;x&apos;' AS t FROM pages)""",
 )
 def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.substring("html", 1, 400), F.lit("&amp;lt; &lt;b&gt; &quot;x&apos;"))
+    t = F.concat("html", F.lit("&amp;lt; &lt;b&gt; &quot;x&apos;"))
     return table(spark, sf_dir, "pages").select("page_id", T.decode_entities(t).alias("decoded"), T.encode_entities(t).alias("encoded"))
 
 
@@ -470,48 +536,108 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- page directives and redirects -----------------------------------------------------------------
 
 _HTML = [
-    (1, '<html><title>One</title><meta name="Author" content="A B"><meta http-equiv="User Name" content="John Doe">alpha</html>'),
-    (2, '<html><meta http-equiv="robot" content="skip">beta</html>'),
-    (3, '<html><meta http-equiv="Robot" content="skipmeta skiplinks">gamma <robot skip>hidden</robot> shown</html>'),
-    (4, '<html><title>Four &amp; more</title><meta name="robot" content="skiptext">delta</html>'),
-    (5, "<html><!-- note -->eps<script>x()</script> zeta</html>"),
+    (-1, '<html><title>One</title><meta name="Author" content="A B"><meta http-equiv="User Name" content="John Doe">alpha</html>'),
+    (-2, '<html><meta http-equiv="robot" content="skip">beta</html>'),
+    (-3, '<html><meta http-equiv="Robot" content="skipmeta skiplinks"><a href="/x">gamma</a> <robot skip>hidden</robot> shown</html>'),
+    (-4, '<html><title>Four &amp; more</title><meta content="skiptext" name="robot">delta</html>'),
+    (-5, "<html><!-- note --><META content='a &lt; b' NAME='Key Words'>eps<script>x()</script><a class=k href='../up?q=1#f'>zeta</a></html>"),
+    (-6, "<html><meta name=generator content=hand><a href=//other.example/./a/../b>eta</a><a href='mailto:x@y'>m</a></html>"),
 ]
 
 
-def _html(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_HTML, "page_id bigint, html string")
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, and some with metas, directives and links of all kinds."""
+    more = spark.createDataFrame([(i, f"https://site.example/dir/{-i}.html", h) for i, h in _HTML], "page_id bigint, url string, html string")
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(more)
+
+
+_HTML_SQL = "html AS (SELECT page_id, url, html FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(
+    "({}::BIGINT, 'https://site.example/dir/{}.html', '{}')".format(i, -i, h.replace("'", "''")) for i, h in _HTML
+) + ") v(page_id, url, html))"
+
+
+def _attribute(name: str) -> str:
+    ways = [f"(?is)(?:^|\\s){name}\\s*=\\s*" + own for own in ('"([^"]*)"', "''([^'']*)''", "([^\\s\"''>]+)")]
+    return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(tag, '{w}') THEN regexp_extract(tag, '{w}', 1) END" for w in ways) + ")"
+
+
+_METAS_SQL = f"""{_HTML_SQL}, tags AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<meta\\s+([^>]*)>', 1)) AS tag FROM html),
+  named AS (SELECT page_id, coalesce({_attribute("name")}, {_attribute("http-equiv")}) AS name, {_attribute("content")} AS content FROM tags),
+  metas AS (SELECT * FROM named WHERE name IS NOT NULL AND content IS NOT NULL),
+  words AS (SELECT page_id, list_distinct(flatten(list(string_split(lower(trim(content)), ' ')))) AS w FROM metas WHERE lower(name) = 'robot' GROUP BY page_id),
+  flags AS (SELECT page_id, coalesce(list_contains(w, 'skip'), false) AS skip, coalesce(list_contains(w, 'skiplinks'), false) AS skip_links,
+    coalesce(list_contains(w, 'skiptext'), false) AS skip_text FROM html LEFT JOIN words USING (page_id))"""
+
+
+@register("page_metas", f"WITH {_METAS_SQL} SELECT page_id, name, content FROM metas")
+def page_metas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.metas(_html(spark, sf_dir))
 
 
 @register(
-    "page_metas",
-    "SELECT * FROM (VALUES (1::BIGINT, 'Author', 'A B'), (1, 'User Name', 'John Doe'), (2, 'robot', 'skip'), (3, 'Robot', 'skipmeta skiplinks'), (4, 'robot', 'skiptext')) v(page_id, name, content)",
+    "page_meta_terms",
+    f"""WITH {_METAS_SQL} SELECT DISTINCT term, page_id FROM (SELECT page_id, upper(regexp_replace(name, '\\s+', '', 'g')) || ':' ||
+        unnest(regexp_extract_all({O.decode("content")}, '[\\p{{L}}\\p{{N}}]+')) AS term FROM metas) WHERE strlen(term) BETWEEN 1 AND 63""",
 )
-def page_metas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.metas(_html(spark))
+def page_meta_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.meta_terms(_html(spark, sf_dir))
 
 
 @register(
     "skip_directives",
-    "SELECT * FROM (VALUES (1::BIGINT, 'One', 'One alpha'), (3, '', 'gamma shown'), (4, 'Four & more', ''), (5, '', 'eps zeta')) v(page_id, title, text)",
+    f"""WITH {_METAS_SQL} SELECT h.page_id, {O.decode(O.TITLE)} AS title, CASE WHEN skip_text THEN '' ELSE
+        {O.plain("regexp_replace(html, '(?is)<robot\\s+skip\\s*>.*?</robot>', ' ', 'g')")} END AS text
+        FROM html h JOIN flags f ON h.page_id = f.page_id WHERE NOT skip""",
 )
 def skip_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.indexable(_html(spark), "robot").select("page_id", "title", "text")
+    return pages.indexable(_html(spark, sf_dir), "robot").select("page_id", "title", "text")
 
 
-_EDGES = [("r1", "http://elsewhere/"), ("r2", "r2"), ("r3", "../index"), ("r4", "r5"), ("r5", "r6"), ("r6", "r4"), ("a", "b"), ("b", "c"), ("c", "r3")]
+_ORIGIN = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+
+
+@register(
+    "page_links",
+    f"""WITH {_METAS_SQL}, anchors AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\s+([^>]*)>', 1)) AS tag FROM html),
+      hrefs AS (SELECT page_id, url, {O.decode(_attribute("href").replace("''", "''"))} AS href, {_ORIGIN} AS origin FROM anchors),
+      own AS (SELECT *, regexp_extract(substr(url, length(origin) + 1), '^([^?#]*/)', 1) AS path FROM hrefs WHERE href <> ''),
+      joined AS (SELECT *, CASE WHEN starts_with(href, '/') THEN href ELSE CASE WHEN path = '' THEN '/' ELSE path END || href END AS j FROM own),
+      parted AS (SELECT *, regexp_extract(j, '^([^?#]*)', 1) AS o FROM joined),
+      followed AS (SELECT *, array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(o, '/'), lambda x: [x])),
+        lambda acc, x: CASE WHEN x[1] = '..' THEN CASE WHEN len(acc) > 1 THEN acc[:-2] ELSE acc END WHEN x[1] = '.' THEN acc ELSE list_concat(acc, x) END), '/') AS f FROM parted)
+      SELECT DISTINCT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href
+        WHEN starts_with(href, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || href ELSE origin || f || substr(j, length(o) + 1) END AS target
+      FROM followed WHERE page_id NOT IN (SELECT page_id FROM flags WHERE skip_links)""",
+)
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.links(_html(spark, sf_dir), "robot")
+
+
+_EDGES = [("r1", "http://elsewhere/"), ("r2", "r2"), ("r3", "index"), ("r4", "r5"), ("r5", "r6"), ("r6", "r4"), ("a", "b"), ("b", "c"), ("c", "r3")]
+_EDGES += [(f"n{k}", f"n{k + 1}") for k in range(70)]
 
 
 @register(
     "redirect_resolve",
     "WITH RECURSIVE e(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + """),
       walk(src, target, hops, seen) AS (SELECT src, dst, 1, [src] FROM e
-        UNION ALL SELECT w.src, e.dst, w.hops + 1, list_append(w.seen, w.target) FROM walk w JOIN e ON w.target = e.src WHERE NOT list_contains(w.seen, w.target) AND w.hops < 20)
-      SELECT src, CASE WHEN list_contains(seen, target) THEN NULL ELSE target END AS target, hops FROM walk
+        UNION ALL SELECT w.src, e.dst, w.hops + 1, list_append(w.seen, w.target) FROM walk w JOIN e ON w.target = e.src WHERE NOT list_contains(w.seen, w.target))
+      SELECT src, CASE WHEN list_contains(seen, target) THEN NULL ELSE target END AS target, CASE WHEN list_contains(seen, target) THEN NULL ELSE hops END::BIGINT AS hops FROM walk
       WHERE list_contains(seen, target) OR target NOT IN (SELECT src FROM e)""",
 )
 def redirect_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.resolve_redirects(spark.createDataFrame(_EDGES, "src string, dst string"))
 
 
+@register(
+    "redirect_relative",
+    """SELECT 'http://site.example/redirects/r3.pl' AS src, 'http://site.example/index.html' AS target, 1::BIGINT AS hops
+       UNION ALL SELECT 'http://site.example/a/b', 'http://site.example/index.html', 2""",
+)
+def redirect_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [("http://site.example/redirects/r3.pl", "../index.html"), ("http://site.example/a/b", "/redirects/./r3.pl")]
+    return pages.resolve_redirects(spark.createDataFrame(own, "src string, dst string"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["search_flagship"](spark, sf_dir)

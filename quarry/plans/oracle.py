@@ -25,15 +25,14 @@ def decode(sql: str) -> str:
     return sql
 
 
-def _plain() -> str:
-    sql = "html"
+def plain(sql: str = "html") -> str:
     for pattern in ("(?is)<script.*?</script>", "(?is)<style.*?</style>", "(?s)<!--.*?-->", "(?s)<[^>]*>"):
         sql = f"regexp_replace({sql}, '{pattern}', ' ', 'g')"
     return f"trim(regexp_replace({decode(sql)}, '[ \\t\\r\\n]+', ' ', 'g'))"
 
 
 TAGGED = f"""postings AS (SELECT DISTINCT term, page_id FROM (
-    SELECT page_id, unnest(regexp_extract_all({_plain()}, '[\\p{{L}}\\p{{N}}]+')) AS term FROM pages
+    SELECT page_id, unnest(regexp_extract_all({plain()}, '[\\p{{L}}\\p{{N}}]+')) AS term FROM pages
     UNION ALL SELECT page_id, 'TITLE:' || unnest(regexp_extract_all({decode(TITLE)}, '[\\p{{L}}\\p{{N}}]+')) FROM pages
   ) WHERE strlen(term) BETWEEN 1 AND 63)"""
 

@@ -6,11 +6,14 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.index import Index
 
+#: Page ids of one line of text.
+CELL_PAGES = 65_536
+
 # --- Parquet ---------------------------------------------------------------------------------------
 
 
@@ -49,27 +52,38 @@ def load_text(spark: SparkSession, path: str) -> Index:
     return Index.of(parse_text(spark.read.text(path)))
 
 
+def _cell() -> Column:
+    return F.expr(f"page_id div {CELL_PAGES}").alias("cell")
+
+
 def posting_runs(postings: DataFrame) -> DataFrame:
-    """(term, first_page, last_page): each term's pages as runs of consecutive ids."""
-    pages = postings.select("term", "page_id").distinct()
-    island = F.col("page_id") - F.row_number().over(Window.partitionBy("term").orderBy("page_id"))
-    return (
-        pages.withColumn("island", island)
-        .groupBy("term", "island")
-        .agg(F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
-        .select("term", "first_page", "last_page")
-    )
+    """(term, first_page, last_page): each term's pages as runs of consecutive ids.
+
+    Runs are found within cells of page ids, and only those that reach a cell's border are followed over it.
+    """
+    pages = postings.select("term", "page_id", _cell()).distinct()
+    island = F.col("page_id") - F.row_number().over(Window.partitionBy("term", "cell").orderBy("page_id"))
+    runs = pages.withColumn("island", island).groupBy("term", "cell", "island").agg(F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
+    border = (F.col("first_page") == F.col("cell") * CELL_PAGES) | (F.col("last_page") == F.col("cell") * CELL_PAGES + CELL_PAGES - 1)
+    order = Window.partitionBy("term").orderBy("first_page")
+    at_border = runs.filter(border).withColumn("new", F.coalesce(F.lag("last_page").over(order) + 1 != F.col("first_page"), F.lit(True)).cast("int"))
+    joined = at_border.withColumn("run", F.sum("new").over(order)).groupBy("term", "run").agg(F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"))
+    return runs.filter(~border).select("term", "first_page", "last_page").unionByName(joined.select("term", "first_page", "last_page"))
 
 
 def dump_text(index: Index, runs: bool = False) -> DataFrame:
-    """Lines (value) `word ids...` in ascending order of ids, runs of three or more as `a-b` if asked for."""
+    """Lines (value) `word ids...` in ascending order of ids, runs of three or more as `a-b` if asked for.
+
+    A word has a line for each cell of CELL_PAGES page ids that it occurs in; the loader joins a word's lines.
+    """
+    pages = index.postings.select("term", "page_id", _cell()).distinct()
     if not runs:
-        lists = index.postings.groupBy("term").agg(F.array_sort(F.collect_set("page_id")).alias("ids"))
+        lists = pages.groupBy("term", "cell").agg(F.array_sort(F.collect_list("page_id")).alias("ids"))
         return lists.select(F.concat_ws(" ", "term", F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("value"))
-    one = F.when(F.col("last_page") - F.col("first_page") > 1, F.concat_ws("-", "first_page", "last_page")).when(
-        F.col("last_page") > F.col("first_page"), F.concat_ws(" ", "first_page", "last_page")
-    ).otherwise(F.col("first_page").cast("string"))
-    lists = posting_runs(index.postings).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("first_page", one.alias("text")))).alias("runs"))
+    island = F.col("page_id") - F.row_number().over(Window.partitionBy("term", "cell").orderBy("page_id"))
+    found = pages.withColumn("island", island).groupBy("term", "cell", "island").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b"))
+    one = F.when(F.col("b") - F.col("a") > 1, F.concat_ws("-", "a", "b")).when(F.col("b") > F.col("a"), F.concat_ws(" ", "a", "b")).otherwise(F.col("a").cast("string"))
+    lists = found.groupBy("term", "cell").agg(F.array_sort(F.collect_list(F.struct("a", one.alias("text")))).alias("runs"))
     return lists.select(F.concat_ws(" ", "term", F.concat_ws(" ", F.transform("runs", lambda r: r["text"]))).alias("value"))
 
 
@@ -113,17 +127,64 @@ def decode_trie(data: bytes) -> Iterator[tuple[bytes, int, int]]:
 
 
 def encode_trie(postings: dict[bytes, list[int]]) -> bytes:
-    """The current format for small indexes: one node per term below each first byte."""
-    out = [b"\x01"]
-    for first in range(256):
-        own = sorted((t, p) for t, p in postings.items() if t and t[0] == first)
-        out.append(struct.pack("<i", len(own)))
-        for term, pages in own:
-            rest = term[1:]
-            out.append(struct.pack("<i", len(rest)) + rest + struct.pack("<ii", 0, len(pages)) + struct.pack(f"<{len(pages)}i", *sorted(pages)))
+    """The current format for some postings: one node per term below each first byte."""
+    trees: dict[int, list[bytes]] = {}
+    for term, pages in sorted(postings.items()):
+        rest = term[1:]
+        node = struct.pack("<i", len(rest)) + rest + struct.pack(f"<ii{len(pages)}i", 0, len(pages), *sorted(pages))
+        trees.setdefault(term[0], []).append(node)
+    return b"\x01" + b"".join(struct.pack("<i", len(trees.get(k, []))) + b"".join(trees.get(k, [])) for k in range(256))
+
+
+def encode_letters(postings: dict[bytes, list[int]]) -> bytes:
+    """The older format for some postings: a node for each letter, its pages, then its children."""
+    tree: dict = {}
+    for term, pages in postings.items():
+        at = tree
+        for letter in term[:-1]:
+            at = at.setdefault(letter, ([], {}))[1]
+        at.setdefault(term[-1], ([], {}))[0].extend(sorted(pages))
+    out, stack = [b"\x01"], sorted(tree.items(), reverse=True)
+    while stack:
+        letter, (pages, children) = stack.pop()
+        out.append(struct.pack(f"<Bii{len(pages)}i", letter, len(children), len(pages), *pages))
+        stack += sorted(children.items(), reverse=True)
     return b"".join(out)
 
 
+def binary_files(index: Index, older: bool = False, postings_per_file: int = 2_000_000) -> DataFrame:
+    """(content): the purged index as binary files, of a range of terms and pages each, so that a frequent term lies in several."""
+    rows = index.purge().postings.select("term", "page_id")
+    ranged = rows.repartitionByRange(max(1, -(-rows.count() // postings_per_file)), "term", "page_id").sortWithinPartitions("term", "page_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, list[int]] = {}
+        for frame in frames:
+            for term, page in zip(frame["term"], frame["page_id"], strict=True):
+                held.setdefault(term.encode(), []).append(page)
+        if held:
+            yield pd.DataFrame({"content": [(encode_letters if older else encode_trie)(held)]})
+
+    return ranged.mapInPandas(run, "content binary")
+
+
+def load_files(files: DataFrame, older: bool = False) -> Index:
+    """The index of (content) rows; each is decoded in one task, files in parallel."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                rows: list[tuple[str, int, int]] = []
+                for term, page, gen in (decode_letters if older else decode_trie)(bytes(content)):
+                    rows.append((term.decode("utf-8", "replace"), page, gen))
+                    if len(rows) == 100_000:
+                        yield pd.DataFrame(rows, columns=["term", "page_id", "gen"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["term", "page_id", "gen"])
+
+    return Index.of(files.select("content").mapInPandas(run, "term string, page_id bigint, gen int"))
+
+
 def decode_letters(data: bytes) -> Iterator[tuple[bytes, int, int]]:
     """(term, page, gen) of the older format: an endian byte, then nodes of one letter, child count, page count, pages, children."""
     if data[0] not in (0, 1):
@@ -146,21 +207,8 @@ def decode_letters(data: bytes) -> Iterator[tuple[bytes, int, int]]:
 
 
 def load_binary(spark: SparkSession, path: str, older: bool = False) -> Index:
-    """An index from binary files; each file is decoded in one task, files in parallel."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                rows: list[tuple[str, int, int]] = []
-                for term, page, gen in (decode_letters if older else decode_trie)(bytes(content)):
-                    rows.append((term.decode("utf-8", "replace"), page, gen))
-                    if len(rows) == 100_000:
-                        yield pd.DataFrame(rows, columns=["term", "page_id", "gen"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["term", "page_id", "gen"])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return Index.of(files.mapInPandas(run, "term string, page_id bigint, gen int"))
+    """An index from binary files."""
+    return load_files(spark.read.format("binaryFile").load(path), older)
 
 
 # --- configuration ---------------------------------------------------------------------------------
@@ -170,3 +218,16 @@ def read_config(text: str) -> dict[str, str]:
     """`key=value` lines; blank lines and lines without `=` are skipped, later keys win."""
     pairs = (line.partition("=") for line in text.splitlines() if "=" in line)
     return {k.strip(): v.strip() for k, _, v in pairs}
+
+
+def configuration_aliases(xml: DataFrame) -> DataFrame:
+    """(alias): the names in `/configurations/head/list` of configuration texts (xml), parted by semicolons."""
+    names = F.split(F.expr("xpath_string(xml, '/configurations/head/list')"), ";")
+    return xml.select(F.explode(names).alias("alias")).select(F.trim("alias").alias("alias")).filter("alias <> ''")
+
+
+def file_source(spark: SparkSession, url_list: str) -> DataFrame:
+    """(page_id, url, html): the files below the `file://` entries of a comma-separated list, whole; ids by address."""
+    roots = [u.strip() for u in url_list.split(",") if u.strip()]
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    return found.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), F.decode("content", "utf-8").alias("html"))

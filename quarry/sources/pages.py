@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import decode_entities, normalise_space
+from ..functions.terms import attribute, decode_entities, legal, normalise_space, tokens
 
-_META = r"""(?is)<meta\s+(?:name|http-equiv)\s*=\s*"([^"]*)"\s+content\s*=\s*"([^"]*)"[^>]*>"""
+_META = r"(?is)<meta\s+([^>]*)>"
 
 
 def title(html: Column) -> Column:
@@ -23,11 +23,42 @@ def plain_text(html: Column) -> Column:
 
 
 def metas(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """(page_id, name, content): a row per `<meta name=...>` or `<meta http-equiv=...>` with a content."""
-    names = F.regexp_extract_all(F.col(html_col), F.lit(_META), F.lit(1))
-    contents = F.regexp_extract_all(F.col(html_col), F.lit(_META), F.lit(2))
-    pairs = F.explode(F.arrays_zip(names.alias("name"), contents.alias("content"))).alias("m")
-    return pages.select("page_id", pairs).select("page_id", "m.name", "m.content")
+    """(page_id, name, content): a row per meta with a `name` or `http-equiv` and a `content`, in any order and quotes."""
+    tag = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_META), F.lit(1))).alias("tag")
+    own = pages.select("page_id", tag).select("page_id", F.coalesce(attribute(F.col("tag"), "name"), attribute(F.col("tag"), "http-equiv")).alias("name"), attribute(F.col("tag"), "content").alias("content"))
+    return own.filter("name is not null and content is not null")
+
+
+def meta_terms(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(term, page_id), distinct: `NAME:word` for the words of each meta, its name in upper case and without blanks."""
+    field = F.upper(F.regexp_replace("name", r"\s+", ""))
+    words = F.explode(F.array_distinct(tokens(decode_entities(F.col("content"))))).alias("word")
+    term = F.concat(F.col("field"), F.lit(":"), F.col("word"))
+    return metas(pages, html_col).select("page_id", field.alias("field"), words).select(term.alias("term"), "page_id").filter(legal(F.col("term"))).distinct()
+
+
+def links(pages: DataFrame, name: str | None = None, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """(page_id, target), distinct: where the page's anchors lead, seen from its address; none from pages that say `skiplinks`."""
+    tag = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<a\s+([^>]*)>"), F.lit(1))).alias("tag")
+    own = pages.select("page_id", url_col, tag).select("page_id", url_col, decode_entities(attribute(F.col("tag"), "href")).alias("href"))
+    found = own.filter("href <> ''").select("page_id", absolute(F.col(url_col), F.col("href")).alias("target")).distinct()
+    return found if name is None else found.join(directives(pages, name, html_col).filter("skip_links"), "page_id", "left_anti")
+
+
+def absolute(base: Column, href: Column) -> Column:
+    """The address that `href` means on a page at `base`: with a scheme as it is, else against its host or folder; `.` and `..` are followed."""
+    origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    path = F.regexp_extract(F.substr(base, F.length(origin) + 1), "^([^?#]*/)", 1)
+    joined = F.when(href.startswith("/"), href).otherwise(F.concat(F.when(path == "", F.lit("/")).otherwise(path), href))
+    only = F.regexp_extract(joined, "^([^?#]*)", 1)
+    kept = F.aggregate(
+        F.split(only, "/"),
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    followed = F.concat(origin, F.array_join(kept, "/"), F.substr(joined, F.length(only) + 1))
+    return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).otherwise(followed)
 
 
 def directives(pages: DataFrame, name: str, html_col: str = "html") -> DataFrame:
@@ -56,29 +87,25 @@ def indexable(pages: DataFrame, name: str, html_col: str = "html") -> DataFrame:
     )
 
 
-def resolve_redirects(edges: DataFrame, most: int = 20) -> DataFrame:
-    """(src, target, hops): where each source of (src, dst) ends; target is null for a loop or after `most` hops.
+def resolve_redirects(edges: DataFrame) -> DataFrame:
+    """(src, target, hops): where each source of (src, dst) ends and after how many steps; both null for a loop.
 
-    Each round is one join of the sources still under way with the edges; a source that reaches an
-    address it has been at is in a loop. Of several edges of one source the smallest address counts.
+    Targets are seen from their sources' addresses. Each round doubles the steps taken, by one join of the sources with
+    themselves, so a chain of any length ends after as many rounds as its length has bits; what has not ended after more
+    steps than there are sources is in a loop. Of several edges of one source the smallest address counts.
     """
-    from functools import reduce
-
-    step = edges.groupBy("src").agg(F.min("dst").alias("dst")).persist()
-    moving = step.select("src", F.col("dst").alias("target"), F.lit(1).alias("hops"), F.array("src").alias("seen"))
-    done = []
-    for _ in range(most):
-        looped = F.array_contains("seen", F.col("target"))
-        done.append(moving.filter(looped).select("src", F.lit(None).cast("string").alias("target"), "hops"))
-        open_ = moving.filter(~looped)
-        nexts = step.select(F.col("src").alias("at"), F.col("dst").alias("next"))
-        joined = open_.join(nexts, F.col("target") == F.col("at"), "left")
-        done.append(joined.filter("next is null").select("src", "target", "hops"))
-        moving = joined.filter("next is not null").select(
-            "src", F.col("next").alias("target"), (F.col("hops") + 1).alias("hops"), F.concat("seen", F.array("target")).alias("seen")
+    src = F.col("src")
+    at = edges.select("src", F.when(src.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), absolute(src, F.col("dst"))).otherwise(F.col("dst")).alias("target"))
+    at = at.groupBy("src").agg(F.min("target").alias("target")).withColumn("hops", F.lit(1).cast("bigint"))
+    sources, steps = at.count(), 1
+    known = at.select(F.col("src").alias("known"))
+    while steps <= sources:
+        on = at.select(F.col("src").alias("via"), F.col("target").alias("then"), F.col("hops").alias("more"))
+        at = at.join(on, F.col("target") == F.col("via"), "left").select(
+            "src", F.coalesce("then", "target").alias("target"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")
         )
-        moving = moving.checkpoint(eager=True) if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else moving.persist()
-        if moving.isEmpty():
-            break
-    done.append(moving.select("src", F.lit(None).cast("string").alias("target"), "hops"))
-    return reduce(DataFrame.unionByName, done)
+        if edges.sparkSession.conf.get("spark.checkpoint.dir", None):
+            at = at.checkpoint()
+        steps *= 2
+    ended = at.join(known, F.col("target") == F.col("known"), "left")
+    return ended.select("src", *[F.when(F.col("known").isNull(), F.col(c)).alias(c) for c in ("target", "hops")])

@@ -17,21 +17,26 @@ def ingest(
     text_col: str | None = None,
     fields: dict[str, Column] | None = None,
     metas: dict[str, Column] | None = None,
+    deleted: Column | None = None,
 ) -> StreamingQuery:
-    """Write each micro-batch's terms under its number; a batch that runs twice overwrites itself."""
+    """Write each micro-batch's pages and terms under its number; a batch that runs twice overwrites itself.
+
+    A page that comes again replaces its old terms, also with none; rows for which `deleted` holds delete theirs.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        terms = page_terms(batch, id_col, text_col, fields, metas)
-        terms.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        gone = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
+        page_terms(batch.filter(~gone), id_col, text_col, fields, metas).distinct().write.mode("overwrite").parquet(f"{path}/terms/batch={number}")
+        batch.select(F.col(id_col).cast("bigint").alias("page_id")).distinct().write.mode("overwrite").parquet(f"{path}/pages/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, path: str) -> Index:
-    """The index of all batches; of a page that came several times, the last batch's terms."""
-    rows = spark.read.parquet(path)
-    last = rows.groupBy("page_id").agg(F.max("batch").alias("batch"))
-    return Index.of(rows.join(last, ["page_id", "batch"], "left_semi").select("term", "page_id"))
+    """The index of all batches: of a page that came several times, the last batch's terms."""
+    last = spark.read.parquet(f"{path}/pages").groupBy("page_id").agg(F.max("batch").alias("batch"))
+    terms = spark.read.parquet(f"{path}/terms")
+    return Index.of(terms.join(last, ["page_id", "batch"], "left_semi").select("term", "page_id"))
 
 
 def requests_per_minute(events: DataFrame, time_col: str = "ts") -> DataFrame:
