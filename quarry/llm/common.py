@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A worker holds at most so many files open, and so many bytes of them mapped or read.
-MOST_OPEN, MOST_BYTES = 192, 96 << 20
+MOST_OPEN, MOST_BYTES = 192, 64 << 20
 
 _OPEN: OrderedDict[str, tuple[object, int]] = OrderedDict()
 

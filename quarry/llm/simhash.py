@@ -324,8 +324,8 @@ def spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def links(nodes: DataFrame, found: Plan, distance: int, more_distance: int = 0, store=None) -> DataFrame:
-    """(a, b): links among `nodes` (node, [class,] fp, fp1, ...) that join all that are close, a forest for each key.
+def links(nodes: DataFrame, found: Plan, distance: int, more_distance: int = 0, store=None, only_nodes: bool = False) -> DataFrame:
+    """(a, b), or with `only_nodes` the nodes (node) that have any: links among `nodes` (node, [class,] fp, fp1, ...) that join all that are close, a forest for each key.
 
     With a `store` of sets (see sets.Store), only those whose sets are alike.
     """
@@ -349,9 +349,13 @@ def links(nodes: DataFrame, found: Plan, distance: int, more_distance: int = 0,
             linked = spanning(forest(np.ascontiguousarray(words[:, 0]), index, distance, more, more_distance, confirm))
             if linked:
                 i, j = np.array(linked).T
-                yield pa.RecordBatch.from_arrays([pa.array(longs[i, 0]), pa.array(longs[j, 0])], ["a", "b"])
+                if only_nodes:
+                    yield pa.RecordBatch.from_arrays([pa.array(longs[np.union1d(i, j), 0])], ["node"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(longs[i, 0]), pa.array(longs[j, 0])], ["a", "b"])
 
-    return dealt(rows, "node", MOST_ROWS).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    cells = dealt(rows, "node", MOST_ROWS).repartition("cell").sortWithinPartitions("cell")
+    return cells.mapInArrow(run, "node long" if only_nodes else "a long, b long")
 
 
 def sorted_groups(batches, single: bool = False):
@@ -437,8 +441,8 @@ def verified(
     marked = cut(sets.marked(rows, row, id_col, text_col, shingle), "similar")
     bits = ["node", "class", "fp", "fp1", "fp2"]
     distinct = cut(marked.select(*bits).distinct(), "similar-distinct")
-    near = links(distinct, planned(distinct, distance), distance, more_distance)
-    near = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-near")
+    near = links(distinct, planned(distinct, distance), distance, more_distance, only_nodes=True)
+    near = cut(near.distinct(), "similar-near")
     candidates = cut(distinct.join(near, "node", "left_semi"), "similar-candidates")
     store = sets.store(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), near, shingle)
     roots = components(links(candidates, planned(candidates, distance), distance, more_distance, store))

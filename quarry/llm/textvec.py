@@ -92,7 +92,7 @@ class Chunk:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
 
-def chunks(column: pa.Array, lower: bool = False, most: int = 2 << 20) -> Iterator[Chunk]:
+def chunks(column: pa.Array, lower: bool = False, most: int = 1 << 20) -> Iterator[Chunk]:
     """The column's rows in order, some `most` bytes at a time; a longer text comes alone and whole."""
     column = column.cast(pa.large_string()).fill_null("")
     buffers = column.buffers()

@@ -62,7 +62,7 @@ class Table:
 class Encoder:
     """Ids of texts. At most `most` pieces are remembered, some 50 bytes each; then the memory starts anew."""
 
-    def __init__(self, path: str, most: int = 3_000_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
