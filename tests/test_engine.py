@@ -1,6 +1,7 @@
 """Properties, goldens worked out by hand, and an independent model of scoring."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +188,104 @@ def test_streaming_ingest_keeps_the_last_batch(spark, tmp_path):
         ingest(stream, out, str(tmp_path / "state"), "doc_id", "text").awaitTermination()
         assert number >= 0
     assert sorted((r["term"], r["page_id"]) for r in latest(spark, out).postings.collect()) == [("new", 1), ("two", 2), ("words", 1)]
+
+
+# --- ranking at scale ------------------------------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topk_prunes_before_the_shuffle(small):
+    assert "WindowGroupLimit" in plan_of(S.search(small, "alpha beta", limit=3))
+
+
+def test_no_window_over_a_whole_result(small):
+    """Every window over pages is parted by the cell too; the others are over counted cells."""
+    for limit in (-1, 3):
+        for line in plan_of(S.search(small, "alpha beta", limit=limit)).splitlines():
+            if "row_number()" in line and "Window [" in line:
+                assert re.search(r"\[query_id#\d+, score#\d+, cell#\d+L?\]", line), line
+
+
+@pytest.mark.parametrize("cell", [1, 3, 50_000])
+def test_cells_do_not_change_the_ranking(spark, monkeypatch, cell):
+    rng = random.Random(cell)
+    rows = [(w, p) for p in rng.sample(range(10_000), 60) for w in ("alpha", "beta", "gamma", "delta") if rng.random() < 0.5]
+    index = index_of(spark, rows)
+    query = "alpha beta gamma -delta"
+    monkeypatch.setattr(S, "CELL_PAGES", cell)
+    got = [tuple(r) for r in S.search(index, query).orderBy("position").select("page_id", "score", "position", "quality_pct").collect()]
+    held = {}
+    for w, p in rows:
+        held.setdefault(p, set()).add(w)
+    scores = {p: sum(4 for w in ("alpha", "beta", "gamma") if w in ws) - 500 * ("delta" in ws) for p, ws in held.items()}
+    order = sorted((-x, p) for p, x in scores.items() if x > 0)
+    q = [-x for x, _ in order]
+    expected = []
+
+    def div(a, b):
+        return int(a / b)
+
+    for i, (x, p) in enumerate(order):
+        k = min(i, 3)
+        gap = div(div(sum(q[i - k : i]), k) - q[i], 5 - k) if i else 0
+        # the query's most is the sum of the weights of its four terms
+        pct = div((q[i] + gap) * 100, 16)
+        expected.append((p, -x, i, pct if i == 0 else max(1, pct - min(10, div(10 * i, len(order))))))
+    assert got == expected
+    for limit in (0, 1, 5, 1000):
+        assert sorted(tuple(r) for r in S.search(index, query, limit=limit).select("page_id", "score", "position", "quality_pct").collect()) == sorted(expected[:limit])
+
+
+def test_ties_and_far_apart_ids(spark):
+    index = index_of(spark, [("alpha", p) for p in (0, 5, 2**40, 2**40 + 1, 7)])
+    assert [r["page_id"] for r in S.search(index, "alpha").orderBy("position").collect()] == [0, 5, 7, 2**40, 2**40 + 1]
+
+
+# --- pages -----------------------------------------------------------------------------------------
+
+
+def test_addresses(spark):
+    cases = [
+        ("http://h/a/b.html", "c.html", "http://h/a/c.html"), ("http://h/a/b.html", "../c", "http://h/c"), ("http://h", "c", "http://h/c"),
+        ("http://h/a/?q=/x/y", "./c?d=../e#f", "http://h/a/c?d=../e#f"), ("https://h/a/", "//o/x", "https://o/x"), ("http://h/a", "mailto:x", "mailto:x"),
+        ("http://h/a/b", "../../../c", "http://h/c"), ("http://h/a/b", "/d/", "http://h/d/"),
+    ]
+    df = spark.createDataFrame(cases, "base string, href string, expected string")
+    for r in df.select("base", "href", "expected", pages.absolute(F.col("base"), F.col("href")).alias("got")).collect():
+        assert r["got"] == r["expected"], r
+
+
+def test_chains_of_any_length_end(spark):
+    edges = [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(100)] + [("x", "y"), ("y", "z"), ("z", "y")]
+    got = {r["src"]: (r["target"], r["hops"]) for r in pages.resolve_redirects(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {f"n{k:03d}": ("n100", 100 - k) for k in range(100)} | dict.fromkeys("xyz", (None, None))
+
+
+def test_files_as_pages_and_configuration(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.html").write_text("<title>é</title>")
+    assert [r["html"] for r in files.file_source(spark, f"file://{tmp_path}/docs/,").collect()] == ["<title>é</title>"]
+    xml = spark.createDataFrame([("<configurations><head><list>one; two;</list></head></configurations>",)], "xml string")
+    assert [r["alias"] for r in files.configuration_aliases(xml).collect()] == ["one", "two"]
+
+
+def test_cache_in_search_gives_the_same(small):
+    cache = S.CachedSearch(small)
+    for query in ("+alpha beta -gamma", "beta alpha", "TITLE:alpha alpha"):
+        plain = sorted(map(tuple, S.search(small, query).collect()))
+        assert sorted(map(tuple, S.search(small, query, cache=cache).collect())) == plain
+    assert sum(cache.hits.values()) > 0
+
+
+def test_streaming_empties_and_deletes(spark, tmp_path):
+    def batch(k, rows):
+        spark.createDataFrame(rows, "id long, text string, gone boolean").coalesce(1).write.parquet(str(tmp_path / "in" / f"b={k}"))
+        stream = spark.readStream.schema("id long, text string, gone boolean").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        ingest(stream, str(tmp_path / "out"), str(tmp_path / "check"), "id", "text", deleted=F.col("gone")).awaitTermination()
+
+    batch(0, [(1, "old words", False), (2, "stays", False), (3, "goes", False)])
+    batch(1, [(1, "", False), (3, "goes", True)])
+    assert sorted((r["term"], r["page_id"]) for r in latest(spark, str(tmp_path / "out")).postings.collect()) == [("stays", 2)]
