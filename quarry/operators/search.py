@@ -8,12 +8,14 @@ matches is joined to the postings on the term. Every page's score is the sum of
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .index import Index
 from .query import SearchOptions, compile_terms, query_frame
@@ -63,11 +65,13 @@ def pages_of(index: Index, terms: DataFrame) -> DataFrame:
 class Block:
     """The compiled terms of one block, BLOCK_TERMS at most, on the driver: their size is known and no expression is carried on."""
 
-    def __init__(self, compiled: DataFrame):
-        self.spark = compiled.sparkSession
-        table = compiled.toArrow()
+    def __init__(self, spark: SparkSession, table: pa.Table, schema: StructType):
+        self.spark, self.schema, self.table = spark, schema, table
         self.rows = table.to_pylist()
-        self.terms = self.spark.createDataFrame(table, compiled.schema)
+        self.terms = spark.createDataFrame(table, schema)
+
+    def alone(self, i: int) -> Block:
+        return Block(self.spark, self.table.slice(i, 1), self.schema)
 
     def twins(self) -> list[tuple[int, int, int]]:
         """(query_id, ord of a field term, ord of the plain term that its pages count for too)."""
@@ -86,9 +90,7 @@ class Block:
         return [(r["query_id"], r["ord"]) for r in self.rows if r["kind"] == "all"]
 
     def local(self, rows: list[tuple], names: list[str]) -> DataFrame:
-        import pyarrow as pa
-
-        columns = [pa.array(c, pa.int32()) for c in zip(*rows, strict=True)]
+        columns = [pa.array([r[k] for r in rows], pa.int32()) for k in range(len(names))]
         return F.broadcast(self.spark.createDataFrame(pa.table(dict(zip(names, columns, strict=True)))))
 
 
@@ -126,51 +128,58 @@ def _matched_terms(block: Block, dictionary: DataFrame, options: SearchOptions)
     return out
 
 
-def lookup(index: Index, block: Block, options: SearchOptions, dictionary: DataFrame | None = None) -> DataFrame:
-    """(query_id, ord, page_id), distinct: the pages of each term, a plain term's with those of its field twin.
+def lookup(index: Index, block: Block, options: SearchOptions, dictionary: DataFrame | None = None) -> tuple[DataFrame, set[tuple[int, int]]]:
+    """(query_id, ord, page_id), distinct: the pages of each term, a plain term's with those of its field twin; and the terms that have any.
 
     The twin is a `FIELD:word` of the same query and mode whose value equals the plain term but for case.
     """
-    found = None
+    found, present = None, set(block.every())
     if parts := _matched_terms(block, dictionary if dictionary is not None else index.dictionary, options):
         terms = reduce(DataFrame.unionByName, parts)
         # looked at first: few terms are broadcast and the postings stay where they are, many are joined by shuffle
         some = terms.limit(BROADCAST_TERMS + 1).toArrow()
         few = some.num_rows <= BROADCAST_TERMS
         own = F.broadcast(block.spark.createDataFrame(some, terms.schema)) if few else terms
+        # a term of the dictionary has a page, so that the postings need not be asked
+        present |= _pairs(some if few else terms.select("query_id", "ord").distinct().toArrow())
         found = index.postings.join(own, "term").select("query_id", "ord", "page_id")
     if every := block.every():
         own = index.indexed_pages().join(block.local(every, ["query_id", "ord"]), F.lit(True)).select("query_id", "ord", "page_id")
         found = own if found is None else found.unionByName(own)
     if found is None:
-        return block.spark.createDataFrame([], "query_id int, ord int, page_id bigint")
-    return _with_twins(found, block)
+        found = block.spark.createDataFrame([], "query_id int, ord int, page_id bigint")
+    return _with_twins(found, block), present
 
 
-def rank(found: DataFrame, compiled: DataFrame, options: SearchOptions) -> DataFrame:
+def rank(found: DataFrame, present: set[tuple[int, int]], block: Block, options: SearchOptions) -> DataFrame:
     """(query_id, page_id, score, threshold, max_quality) of the pages above their query's threshold.
 
-    A query with a mandatory term that no page has gives nothing.
+    A query with a mandatory term that no page has gives nothing: `present` has the (query_id, ord) of the terms with pages of their own.
     """
+    present = present | {(q, base) for q, own, base in block.twins() if (q, own) in present}
     scores = (
-        found.join(F.broadcast(compiled.select("query_id", "ord", "signed")), ["query_id", "ord"])
+        found.join(F.broadcast(block.terms.select("query_id", "ord", "signed")), ["query_id", "ord"])
         .groupBy("query_id", "page_id")
         .agg(F.sum("signed").cast("int").alias("score"))
     )
-    mandatory = compiled.filter("occ = '+'").select("query_id", "ord")
-    missing = mandatory.join(found.select("query_id", "ord").distinct(), ["query_id", "ord"], "left_anti").select("query_id").distinct()
-    totals = compiled.groupBy("query_id").agg(
-        (F.sum(F.when(F.col("occ") == "+", 1).otherwise(0)) * options.mandatory_bonus).cast("int").alias("threshold"),
-        F.sum("weight").cast("int").alias("max_quality"),
-    )
+    totals: dict[int, list[int]] = {}
+    for r in block.rows:
+        own = totals.setdefault(r["query_id"], [0, 0])
+        own[0] += options.mandatory_bonus * (r["occ"] == "+")
+        own[1] += r["weight"]
+    missing = {r["query_id"] for r in block.rows if r["occ"] == "+" and (r["query_id"], r["ord"]) not in present}
+    whole = [(q, *own) for q, own in totals.items() if q not in missing]
     return (
-        scores.join(F.broadcast(totals), "query_id")
+        scores.join(block.local(whole, ["query_id", "threshold", "max_quality"]), "query_id")
         .filter(F.col("score") > F.col("threshold"))
-        .join(F.broadcast(missing), "query_id", "left_anti")
         .select("query_id", "page_id", "score", "threshold", "max_quality")
     )
 
 
+def _pairs(table: pa.Table) -> set[tuple[int, int]]:
+    return set(zip(table["query_id"].to_pylist(), table["ord"].to_pylist(), strict=True))
+
+
 def with_quality(ranked: DataFrame, limit: int = -1) -> DataFrame:
     """`ranked` with position (from 0, by score, then page) and quality_pct (1 to 100); the first `limit` of each query, or all.
 
@@ -178,7 +187,7 @@ def with_quality(ranked: DataFrame, limit: int = -1) -> DataFrame:
     three pages before it, less a few points for late positions of long results.
 
     No task ever holds a query's whole result. The pages of one score lie in cells of page ids, some CELL_PAGES each;
-    counting the cells gives where each begins, and what the three pages before the first of a score have. Only
+    counting the cells gives where each begins, and what the three pages before its first one have. Only
     within a cell are pages numbered. `ranked` holds a block of queries, so a row for each is small.
     """
     q, n = F.col("q"), F.col("n")
@@ -189,15 +198,10 @@ def with_quality(ranked: DataFrame, limit: int = -1) -> DataFrame:
 
     cells = rows.groupBy("query_id", "score", "cell").agg(F.count("*").alias("size"), F.first("q").alias("q"))
     in_order = Window.partitionBy("query_id").orderBy(F.desc("score"), "cell")
-    cells = cells.withColumn("before", F.sum("size").over(in_order) - F.col("size"))
-    by_score = Window.partitionBy("query_id", "score")
-    cells = cells.withColumn("begin", F.min("before").over(by_score)).withColumn("pages", F.sum("size").over(by_score))
-    # three cells of greater scores hold the three pages before a score's first one
-    last = cells.select("query_id", "score", "q", "pages").distinct()
-    three = F.collect_list(F.struct("q", "pages")).over(Window.partitionBy("query_id").orderBy(F.desc("score")).rowsBetween(-3, -1))
-    values = F.flatten(F.transform(three, lambda x: F.array_repeat(x["q"], F.least(x["pages"], F.lit(3)).cast("int"))))
-    last = last.select("query_id", "score", F.reverse(values).alias("last"))
-    places = cells.select("query_id", "score", "cell", "before", "begin").join(last, ["query_id", "score"])
+    # three cells hold the three pages before a cell's first one
+    three = F.collect_list(F.struct("q", "size")).over(in_order.rowsBetween(-3, -1))
+    values = F.flatten(F.transform(three, lambda x: F.array_repeat(x["q"], F.least(x["size"], F.lit(3)).cast("int"))))
+    places = cells.select("query_id", "score", "cell", (F.sum("size").over(in_order) - F.col("size")).alias("before"), F.reverse(values).alias("last"))
 
     own = Window.partitionBy("query_id", "score", "cell").orderBy("page_id")
     df = rows.withColumn("number", F.row_number().over(own))
@@ -208,7 +212,7 @@ def with_quality(ranked: DataFrame, limit: int = -1) -> DataFrame:
     if limit >= 0:
         df = df.filter(F.col("position") < limit)
     i = F.col("position")
-    df = df.withColumn("alike", F.least(i - F.col("begin"), F.lit(3)).cast("int")).withColumn("k", F.least(i, F.lit(3)))
+    df = df.withColumn("alike", F.least(F.col("number") - 1, F.lit(3)).cast("int")).withColumn("k", F.least(i, F.lit(3)))
     others = F.aggregate(F.slice("last", F.lit(1), F.lit(3) - F.col("alike")), F.lit(0).cast("bigint"), lambda x, y: x + y)
     df = df.withColumn("sum", F.col("alike") * q + others)
     df = df.withColumn("gap", F.when(i > 0, F.expr("(sum div k - q) div (5 - k)")).otherwise(F.lit(0)))
@@ -246,22 +250,33 @@ def search(
     """(query_id, page_id, score, position, quality_pct, ...) for one query, several, or a table of query terms.
 
     limit: the first so many results of each query, -1 for all. Without `include_pending` the index is
-    searched as it will be after the purge. A `cache` of the same index and options looks terms up that it has not kept.
+    searched as it will be after the purge, and `dictionary`, the index's own, is not used. A `cache` of the same index and options looks terms up that it has not kept.
     """
     options = options or SearchOptions()
     terms = query if isinstance(query, DataFrame) else query_frame(index.postings.sparkSession, query)
-    index = index if include_pending else index.purge()
+    if not include_pending:
+        index, dictionary = index.purge(), None
     result = None
-    blocks = -(-terms.count() // BLOCK_TERMS) or 1
-    for b in range(blocks):
-        part = terms if blocks == 1 else terms.filter(F.pmod(F.hash("query_id"), F.lit(blocks)) == b)
-        block = Block(compile_terms(part, options, weak_words))
-        found = cache.lookup(block) if cache is not None else lookup(index, block, options, dictionary)
-        own = with_quality(rank(found, block.terms, options), limit)
+    for block in _blocks(terms, options, weak_words):
+        found, present = cache.lookup(block) if cache is not None else lookup(index, block, options, dictionary)
+        own = with_quality(rank(found, present, block, options), limit)
         result = own if result is None else result.unionByName(own)
     return result
 
 
+def _blocks(terms: DataFrame, options: SearchOptions, weak_words: DataFrame | None) -> Iterator[Block]:
+    """The compiled query terms in blocks; those of one query stay together."""
+    compiled = compile_terms(terms, options, weak_words)
+    first = compiled.limit(BLOCK_TERMS + 1).toArrow()
+    if first.num_rows <= BLOCK_TERMS:
+        yield Block(terms.sparkSession, first, compiled.schema)
+        return
+    blocks = -(-terms.count() // BLOCK_TERMS)
+    for b in range(blocks):
+        part = compile_terms(terms.filter(F.pmod(F.hash("query_id"), F.lit(blocks)) == b), options, weak_words)
+        yield Block(terms.sparkSession, part.toArrow(), part.schema)
+
+
 def render(results: DataFrame, pages: DataFrame) -> DataFrame:
     """Result rows with the pages' metadata (page_id and whatever else `pages` has) and a shown index from 1."""
     return results.join(pages, "page_id", "left").withColumn("shown_index", F.col("position") + 1)
@@ -287,15 +302,15 @@ class CachedSearch:
 
         return self._get(mode, text, look_up)
 
-    def lookup(self, block: Block) -> DataFrame:
-        """(query_id, ord, page_id) of the block's terms, each from the cache or looked up once."""
+    def lookup(self, block: Block) -> tuple[DataFrame, set[tuple[int, int]]]:
+        """As `lookup`: the block's terms, each from the cache or looked up once."""
         frames = []
-        for r in block.rows:
-            alone = Block(block.terms.filter((F.col("query_id") == r["query_id"]) & (F.col("ord") == r["ord"])))
-            pages = self._get(r["mode"], r["text"], lambda alone=alone: lookup(self.index, alone, self.options).select("page_id").distinct())
+        for i, r in enumerate(block.rows):
+            pages = self._get(r["mode"], r["text"], lambda i=i: lookup(self.index, block.alone(i), self.options)[0].select("page_id").distinct())
             frames.append(pages.select(F.lit(r["query_id"]).alias("query_id"), F.lit(r["ord"]).alias("ord"), "page_id"))
         found = reduce(DataFrame.unionByName, frames) if frames else block.spark.createDataFrame([], "query_id int, ord int, page_id bigint")
-        return _with_twins(found, block)
+        # their pages are kept, so that asking which terms have any reads no postings
+        return _with_twins(found, block), _pairs(found.select("query_id", "ord").distinct().toArrow())
 
     def _get(self, mode: str, text: str, look_up: Callable[[], DataFrame]) -> DataFrame:
         self.invalidate(self.life)
