@@ -284,7 +284,10 @@ def render(results: DataFrame, pages: DataFrame) -> DataFrame:
 
 @dataclass
 class CachedSearch:
-    """Lookups of one index kept for `life` seconds, with the counters of a four-level cache."""
+    """Lookups of one index kept for `life` seconds from when they are read, with the counters of a four-level cache.
+
+    `dictionary` is the index's own, where it is kept.
+    """
 
     index: Index
     options: SearchOptions = field(default_factory=SearchOptions)
@@ -292,6 +295,7 @@ class CachedSearch:
     _kept: dict[tuple[str, str], tuple[float, DataFrame]] = field(default_factory=dict)
     requests: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("exact_cs", "exact_ci", "partial_cs", "partial_ci"), 0))
     hits: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("exact_cs", "exact_ci", "partial_cs", "partial_ci"), 0))
+    dictionary: DataFrame | None = None
 
     def find(self, text: str, mode: str = "partial_ci") -> DataFrame:
         """The pages of a word."""
@@ -300,20 +304,28 @@ class CachedSearch:
             style = "exact" if mode.startswith("exact") else "prefix" if self.options.right_partial_only else "infix"
             return find(self.index, text, style, mode.endswith("_cs"))
 
+        self.invalidate(self.life)
         return self._get(mode, text, look_up)
 
     def lookup(self, block: Block) -> tuple[DataFrame, set[tuple[int, int]]]:
         """As `lookup`: the block's terms, each from the cache or looked up once."""
-        frames = []
+        self.invalidate(self.life)
+        known, frames = set(self._kept), []
         for i, r in enumerate(block.rows):
-            pages = self._get(r["mode"], r["text"], lambda i=i: lookup(self.index, block.alone(i), self.options)[0].select("page_id").distinct())
+            pages = self._get(r["mode"], r["text"], lambda i=i: lookup(self.index, block.alone(i), self.options, self.dictionary)[0].select("page_id").distinct())
             frames.append(pages.select(F.lit(r["query_id"]).alias("query_id"), F.lit(r["ord"]).alias("ord"), "page_id"))
         found = reduce(DataFrame.unionByName, frames) if frames else block.spark.createDataFrame([], "query_id int, ord int, page_id bigint")
         # their pages are kept, so that asking which terms have any reads no postings
-        return _with_twins(found, block), _pairs(found.select("query_id", "ord").distinct().toArrow())
+        present = _pairs(found.select("query_id", "ord").distinct().toArrow())
+        self._filled(known)
+        return _with_twins(found, block), present
+
+    def _filled(self, known: set[tuple[str, str]]) -> None:
+        """What was not `known` before is read by now, and is as old as that: a long reading takes nothing from its life."""
+        for key in self._kept.keys() - known:
+            self._kept[key] = (time.time(), self._kept[key][1])
 
     def _get(self, mode: str, text: str, look_up: Callable[[], DataFrame]) -> DataFrame:
-        self.invalidate(self.life)
         self.requests[mode] += 1
         if (mode, text) in self._kept:
             self.hits[mode] += 1

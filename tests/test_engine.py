@@ -289,3 +289,27 @@ def test_streaming_empties_and_deletes(spark, tmp_path):
     batch(0, [(1, "old words", False), (2, "stays", False), (3, "goes", False)])
     batch(1, [(1, "", False), (3, "goes", True)])
     assert sorted((r["term"], r["page_id"]) for r in latest(spark, str(tmp_path / "out")).postings.collect()) == [("stays", 2)]
+
+
+def test_cache_outlives_a_long_first_reading(small, monkeypatch):
+    """The terms of one search are kept for the next, however long reading them took."""
+    now = [0.0]
+
+    class Clock:
+        @staticmethod
+        def time():
+            now[0] += 45
+            return now[0]
+
+    monkeypatch.setattr(S, "time", Clock)
+    cache = S.CachedSearch(small, life=1000)
+    S.search(small, "+alpha beta -gamma", cache=cache)
+    monkeypatch.setattr(Clock, "time", staticmethod(lambda: now[0]))
+    first = {key: at for key, (at, _) in cache._kept.items()}
+    assert min(first.values()) > 45 * 3
+    now[0] = min(first.values()) + 900
+    S.search(small, "+alpha beta -gamma", cache=cache)
+    assert sum(cache.hits.values()) == 3
+    now[0] += 1000
+    S.search(small, "+alpha beta -gamma", cache=cache)
+    assert sum(cache.hits.values()) == 3
