@@ -2,7 +2,8 @@
 
 Terms meet the dictionary first, which is far smaller than the postings: equalities by hash join,
 prefixes, infixes and ranges by a broadcast of the query side, which is a block of bounded size; what
-matches is joined to the postings on the term. Every page's score is the sum of what its matching terms add.
+matches is joined to the postings on the term. A page's matches are bits of a number for each query, and its score
+is the sum of what their terms add.
 """
 
 from __future__ import annotations
@@ -15,15 +16,19 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .index import Index
+from .index import Index, with_parts
 from .query import SearchOptions, compile_terms, query_frame
 
 #: Query terms that are broadcast at once; more are taken in blocks.
 BLOCK_TERMS = 10_000
 #: Matched terms, of 63 bytes at most each, that are broadcast to the postings.
 BROADCAST_TERMS = 100_000
+#: Tests that are put to the postings themselves where their terms are too many to broadcast.
+DIRECT_TESTS = 8
+#: Terms of a query whose matches are one number.
+WORD_BITS = 62
 #: Pages of one score that are numbered together.
 CELL_PAGES = 50_000
 
@@ -63,12 +68,27 @@ def pages_of(index: Index, terms: DataFrame) -> DataFrame:
 
 
 class Block:
-    """The compiled terms of one block, BLOCK_TERMS at most, on the driver: their size is known and no expression is carried on."""
+    """The compiled terms of one block, BLOCK_TERMS at most, on the driver: their size is known and no expression is carried on.
+
+    A query's terms are bits of its words, WORD_BITS to each, so that a page's matches are a number for each query and word.
+    Terms that match alike, in whichever queries, are one test.
+    """
 
     def __init__(self, spark: SparkSession, table: pa.Table, schema: StructType):
         self.spark, self.schema, self.table = spark, schema, table
         self.rows = table.to_pylist()
-        self.terms = spark.createDataFrame(table, schema)
+        self.tests: dict[tuple, int] = {}
+        #: the test of each row
+        self.test: list[int] = []
+        #: (query_id, ord) to its number in the query
+        self.number: dict[tuple[int, int], int] = {}
+        sizes: dict[int, int] = {}
+        for r in self.rows:
+            self.test.append(self.tests.setdefault(tuple(r[k] for k in ("kind", "mode", "text", "field", "value", "name", "bound")), len(self.tests)))
+            if (r["query_id"], r["ord"]) not in self.number:
+                self.number[r["query_id"], r["ord"]] = sizes.get(r["query_id"], 0)
+                sizes[r["query_id"]] = sizes.get(r["query_id"], 0) + 1
+        self.words = -(-max(sizes.values(), default=1) // WORD_BITS)
 
     def alone(self, i: int) -> Block:
         return Block(self.spark, self.table.slice(i, 1), self.schema)
@@ -86,19 +106,63 @@ class Block:
             for base in plain.get((r["query_id"], r["mode"], r["value"].lower()), [])
         ]
 
-    def every(self) -> list[tuple[int, int]]:
-        return [(r["query_id"], r["ord"]) for r in self.rows if r["kind"] == "all"]
+    def marks(self) -> DataFrame:
+        """(test, query_id, word, mask): the bits of the terms of each test, with those of the plain terms that they count for too."""
+        bases: dict[tuple[int, int], list[int]] = {}
+        for query, own, base in self.twins():
+            bases.setdefault((query, own), []).append(base)
+        masks: dict[tuple[int, int, int], int] = {}
+        for r, test in zip(self.rows, self.test, strict=True):
+            query = r["query_id"]
+            for k in (r["ord"], *bases.get((query, r["ord"]), [])):
+                word, bit = divmod(self.number[query, k], WORD_BITS)
+                masks[test, query, word] = masks.get((test, query, word), 0) | 1 << bit
+        return self.local([(*key, mask) for key, mask in masks.items()], ["test", "query_id", "word", "mask"])
+
+    def signs(self) -> tuple[DataFrame, int]:
+        """(query_id, word, signs): what each bit of a word adds to a page's score; and the bits that any word has."""
+        found: dict[tuple[int, int], list[int]] = {}
+        for r in self.rows:
+            word, bit = divmod(self.number[r["query_id"], r["ord"]], WORD_BITS)
+            own = found.setdefault((r["query_id"], word), [])
+            own.extend([0] * (bit + 1 - len(own)))
+            own[bit] += r["signed"]
+        bits = max(map(len, found.values()), default=0)
+        columns = {
+            "query_id": pa.array([q for q, _ in found], pa.int32()),
+            "word": pa.array([w for _, w in found], pa.int32()),
+            "signs": pa.array([x + [0] * (bits - len(x)) for x in found.values()], pa.list_(pa.int32())),
+        }
+        return F.broadcast(self.spark.createDataFrame(pa.table(columns), "query_id int, word int, signs array<int>")), bits
 
     def local(self, rows: list[tuple], names: list[str]) -> DataFrame:
-        columns = [pa.array([r[k] for r in rows], pa.int32()) for k in range(len(names))]
+        columns = [pa.array([r[k] for r in rows], pa.int64() if n == "mask" else pa.int32()) for k, n in enumerate(names)]
         return F.broadcast(self.spark.createDataFrame(pa.table(dict(zip(names, columns, strict=True)))))
 
 
-def _matched_terms(block: Block, dictionary: DataFrame, options: SearchOptions) -> list[DataFrame]:
-    """(query_id, ord, term) for all terms but `*`, one frame for each way of matching that occurs."""
+def _test(r: dict, options: SearchOptions) -> Column:
+    """The predicate of one compiled term on rows with the parts of their terms."""
+    if r["kind"] == "all":
+        return F.lit(True)
+    if r["kind"] in ("word", "field"):
+        own = matches_text(r["kind"] == "field", r["mode"], r["value"] if r["kind"] == "field" else r["text"], options.right_partial_only)
+        return (F.col("field") == r["field"]) & own if r["kind"] == "field" else own
+    sensitive = r["mode"].endswith("_cs")
+    if r["kind"] == "eq":
+        return matches_text(False, "exact_cs" if sensitive else "exact_ci", r["text"])
+    name, query = (F.col("meta_name"), F.lit(r["name"])) if sensitive else (F.lower("meta_name"), F.lower(F.lit(r["name"])))
+    bound = F.lit(r["bound"]).cast("bigint")
+    return (name == query) & (F.col("meta_num") > bound if r["kind"] == "gt" else F.col("meta_num") < bound)
+
+
+def _matched_terms(block: Block, dictionary: DataFrame, options: SearchOptions) -> DataFrame | None:
+    """(test, term) for all terms but `*`: each way of matching that occurs is a join of the dictionary with its tests."""
+    first = {test: r for r, test in zip(reversed(block.rows), reversed(block.test), strict=True)}
     present = {(r["kind"], r["mode"]) for r in block.rows}
-    q = block.terms.select("query_id", "ord", "kind", "mode", F.col("text").alias("q_text"), F.lower("text").alias("q_lc"), F.col("field").alias("q_field"),
-                        F.col("value").alias("q_value"), F.lower("value").alias("q_value_lc"), "name", "bound")
+    tests = pa.Table.from_pylist([{"test": t, **first[t]} for t in sorted(first)], pa.schema([pa.field("test", pa.int32()), *block.table.schema]))
+    terms = block.spark.createDataFrame(tests, StructType([StructField("test", IntegerType()), *block.schema]))
+    q = terms.select("test", "kind", "mode", F.col("text").alias("q_text"), F.lower("text").alias("q_lc"), F.col("field").alias("q_field"),
+                     F.col("value").alias("q_value"), F.lower("value").alias("q_value_lc"), "name", "bound")
 
     def within(own: Column, query: Column) -> Column:
         return own.startswith(query) if options.right_partial_only else own.contains(query)
@@ -124,44 +188,63 @@ def _matched_terms(block: Block, dictionary: DataFrame, options: SearchOptions)
     out = []
     for kind, mode in sorted(present & set(ways)):
         own = q.filter((F.col("kind") == kind) & (F.col("mode") == mode))
-        out.append(dictionary.join(F.broadcast(own), ways[kind, mode]).select("query_id", "ord", "term"))
-    return out
+        out.append(dictionary.join(F.broadcast(own), ways[kind, mode]).select("test", "term"))
+    return reduce(DataFrame.unionByName, out) if out else None
 
 
 def lookup(index: Index, block: Block, options: SearchOptions, dictionary: DataFrame | None = None) -> tuple[DataFrame, set[tuple[int, int]]]:
-    """(query_id, ord, page_id), distinct: the pages of each term, a plain term's with those of its field twin; and the terms that have any.
+    """(query_id, word, page_id, mask), one row each: the bits of the terms that a page has, a plain term's also where it has its field twin; and the terms that have any page.
 
     The twin is a `FIELD:word` of the same query and mode whose value equals the plain term but for case.
+    Few matched terms are broadcast to the postings. Of many, the tests that match most are put to the postings themselves, DIRECT_TESTS
+    at most; only what is many still is joined by shuffle.
     """
-    found, present = None, set(block.every())
-    if parts := _matched_terms(block, dictionary if dictionary is not None else index.dictionary, options):
-        terms = reduce(DataFrame.unionByName, parts)
-        # looked at first: few terms are broadcast and the postings stay where they are, many are joined by shuffle
+    first = {test: r for r, test in zip(reversed(block.rows), reversed(block.test), strict=True)}
+    direct = {t for t, r in first.items() if r["kind"] == "all"}
+    have, parts = set(direct), []
+    terms = _matched_terms(block, dictionary if dictionary is not None else index.dictionary, options)
+    if terms is not None:
         some = terms.limit(BROADCAST_TERMS + 1).toArrow()
-        few = some.num_rows <= BROADCAST_TERMS
-        own = F.broadcast(block.spark.createDataFrame(some, terms.schema)) if few else terms
-        # a term of the dictionary has a page, so that the postings need not be asked
-        present |= _pairs(some if few else terms.select("query_id", "ord").distinct().toArrow())
-        found = index.postings.join(own, "term").select("query_id", "ord", "page_id")
-    if every := block.every():
-        own = index.indexed_pages().join(block.local(every, ["query_id", "ord"]), F.lit(True)).select("query_id", "ord", "page_id")
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        found = block.spark.createDataFrame([], "query_id int, ord int, page_id bigint")
-    return _with_twins(found, block), present
+        if some.num_rows <= BROADCAST_TERMS:
+            have |= set(some["test"].to_pylist())
+        else:
+            counts = {r["test"]: r["n"] for r in terms.groupBy("test").agg(F.count("*").alias("n")).toArrow().to_pylist()}
+            # a term of the dictionary has a page, so that the postings need not be asked
+            have |= set(counts)
+            most = sorted(counts, key=lambda t: -counts[t])
+            k = 0
+            while k < min(DIRECT_TESTS, len(most)) and sum(counts[t] for t in most[k:]) > BROADCAST_TERMS:
+                k += 1
+            direct |= set(most[:k])
+            terms = terms.filter(F.col("test").isin(most[k:]))
+            some = terms.toArrow() if sum(counts[t] for t in most[k:]) <= BROADCAST_TERMS else None
+        if some is None:
+            parts.append(index.postings.select("term", "page_id").join(terms.hint("shuffle_hash"), "term").select("test", "page_id"))
+        elif some.num_rows:
+            own = F.broadcast(block.spark.createDataFrame(some, terms.schema))
+            parts.append(index.postings.select("term", "page_id").join(own, "term").select("test", "page_id"))
+    if direct:
+        own = {t: _test(first[t], options) for t in sorted(direct)}
+        tests = F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in own.items()]))
+        rows = with_parts(index.postings.select("term", "page_id")).filter(reduce(Column.__or__, own.values()))
+        parts.append(rows.select("page_id", F.explode(tests).alias("test")).select("test", "page_id"))
+    found = reduce(DataFrame.unionByName, parts) if parts else block.spark.createDataFrame([], "test int, page_id bigint")
+    # a page's postings lie together where it was indexed, so that most of this is done before the shuffle
+    found = found.join(block.marks(), "test").groupBy("query_id", "word", "page_id").agg(F.bit_or("mask").alias("mask"))
+    return found, {(r["query_id"], r["ord"]) for r, test in zip(block.rows, block.test, strict=True) if test in have}
 
 
 def rank(found: DataFrame, present: set[tuple[int, int]], block: Block, options: SearchOptions) -> DataFrame:
-    """(query_id, page_id, score, threshold, max_quality) of the pages above their query's threshold.
+    """(query_id, page_id, score, threshold, max_quality) of the pages above their query's threshold, from what `lookup` gives.
 
     A query with a mandatory term that no page has gives nothing: `present` has the (query_id, ord) of the terms with pages of their own.
     """
     present = present | {(q, base) for q, own, base in block.twins() if (q, own) in present}
-    scores = (
-        found.join(F.broadcast(block.terms.select("query_id", "ord", "signed")), ["query_id", "ord"])
-        .groupBy("query_id", "page_id")
-        .agg(F.sum("signed").cast("int").alias("score"))
-    )
+    signs, bits = block.signs()
+    score = reduce(Column.__add__, [F.shiftright("mask", k).bitwiseAND(F.lit(1)).cast("int") * F.get("signs", F.lit(k)) for k in range(bits)], F.lit(0))
+    scores = found.join(signs, ["query_id", "word"]).select("query_id", "page_id", score.alias("score"))
+    if block.words > 1:
+        scores = scores.groupBy("query_id", "page_id").agg(F.sum("score").cast("int").alias("score"))
     totals: dict[int, list[int]] = {}
     for r in block.rows:
         own = totals.setdefault(r["query_id"], [0, 0])
@@ -176,10 +259,6 @@ def rank(found: DataFrame, present: set[tuple[int, int]], block: Block, options:
     )
 
 
-def _pairs(table: pa.Table) -> set[tuple[int, int]]:
-    return set(zip(table["query_id"].to_pylist(), table["ord"].to_pylist(), strict=True))
-
-
 def with_quality(ranked: DataFrame, limit: int = -1) -> DataFrame:
     """`ranked` with position (from 0, by score, then page) and quality_pct (1 to 100); the first `limit` of each query, or all.
 
@@ -229,14 +308,6 @@ def ranker_maximum(compiled: DataFrame, options: SearchOptions) -> DataFrame:
     return compiled.groupBy("query_id").agg((F.sum(F.greatest("signed", F.lit(0))) - mandatory).cast("int").alias("maximum"))
 
 
-def _with_twins(found: DataFrame, block: Block) -> DataFrame:
-    """The pages of each term with those of its field twins, distinct."""
-    if twins := block.twins():
-        more = found.join(block.local(twins, ["query_id", "ord", "base_ord"]), ["query_id", "ord"])
-        found = found.unionByName(more.select("query_id", F.col("base_ord").alias("ord"), "page_id"))
-    return found.distinct()
-
-
 def search(
     index: Index,
     query: str | list[str] | DataFrame,
@@ -311,14 +382,15 @@ class CachedSearch:
         """As `lookup`: the block's terms, each from the cache or looked up once."""
         self.invalidate(self.life)
         known, frames = set(self._kept), []
-        for i, r in enumerate(block.rows):
+        for r, test, i in zip(block.rows, block.test, range(len(block.rows)), strict=True):
             pages = self._get(r["mode"], r["text"], lambda i=i: lookup(self.index, block.alone(i), self.options, self.dictionary)[0].select("page_id").distinct())
-            frames.append(pages.select(F.lit(r["query_id"]).alias("query_id"), F.lit(r["ord"]).alias("ord"), "page_id"))
-        found = reduce(DataFrame.unionByName, frames) if frames else block.spark.createDataFrame([], "query_id int, ord int, page_id bigint")
+            frames.append(pages.select(F.lit(test).alias("test"), "page_id"))
+        found = reduce(DataFrame.unionByName, frames) if frames else block.spark.createDataFrame([], "test int, page_id bigint")
         # their pages are kept, so that asking which terms have any reads no postings
-        present = _pairs(found.select("query_id", "ord").distinct().toArrow())
+        have = set(found.select("test").distinct().toArrow()["test"].to_pylist())
         self._filled(known)
-        return _with_twins(found, block), present
+        found = found.join(block.marks(), "test").groupBy("query_id", "word", "page_id").agg(F.bit_or("mask").alias("mask"))
+        return found, {(r["query_id"], r["ord"]) for r, test in zip(block.rows, block.test, strict=True) if test in have}
 
     def _filled(self, known: set[tuple[str, str]]) -> None:
         """What was not `known` before is read by now, and is as old as that: a long reading takes nothing from its life."""

@@ -313,3 +313,20 @@ def test_cache_outlives_a_long_first_reading(small, monkeypatch):
     now[0] += 1000
     S.search(small, "+alpha beta -gamma", cache=cache)
     assert sum(cache.hits.values()) == 3
+
+
+@pytest.mark.parametrize(("broadcast", "direct", "bits"), [(100_000, 8, 62), (1, 8, 62), (1, 1, 2), (1, 0, 1)])
+def test_many_matched_terms(spark, monkeypatch, broadcast, direct, bits):
+    """Broadcast, put to the postings or joined by shuffle: the ranking is the same; and with a direct test no posting is shuffled."""
+    monkeypatch.setattr(S, "BROADCAST_TERMS", broadcast)
+    monkeypatch.setattr(S, "DIRECT_TESTS", direct)
+    monkeypatch.setattr(S, "WORD_BITS", bits)
+    rows = [(w, p) for p, w in enumerate(("alpha", "alphabet", "beta", "betaal", "gamma", "TITLE:Alpha", "n=5", "N=-7", "the"))] + [("gamma", 0), ("the", 2), ("n=9", 2)]
+    index = index_of(spark, rows)
+    terms = [(0, k, t) for k, t in enumerate(("+alph", "bet", "-gamma"))] + [(1, k, t) for k, t in enumerate(("TITLE:alpha", "alpha", "alph", "*", "the", "n>6", "N<0"))]
+    got = sorted(tuple(r)[:3] for r in S.search(index, spark.createDataFrame(terms, QUERY_TERMS)).collect())
+    assert got == [(0, 1, 104), (0, 5, 104)] + [(1, p, s) for p, s in ((0, 12), (1, 12), (2, 12), (3, 4), (4, 4), (5, 22), (6, 4), (7, 8), (8, 8))]
+    if direct == 8 and broadcast == 1:
+        block = next(S._blocks(spark.createDataFrame([(0, 0, "alph"), (0, 1, "bet")], QUERY_TERMS), SearchOptions(), None))
+        plan = plan_of(S.lookup(index, block, SearchOptions())[0])
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
