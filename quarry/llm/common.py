@@ -6,6 +6,8 @@ Executors share nothing with the driver but the inputs, the warehouse and the fo
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections import OrderedDict
@@ -13,6 +15,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,8 +130,6 @@ def writing(uri: str):
 
 def mapped(uri: str):
     """A pyarrow buffer over the whole file: memory-mapped where the folder is mounted."""
-    import pyarrow as pa
-
     path = _local(uri)
     if path is not None:
         return pa.memory_map(path, "r").read_buffer()
@@ -157,6 +158,20 @@ def opened(uri: str, parse: Callable):
     return _OPEN[uri][0]
 
 
+def release() -> None:
+    """Close the files kept open, and give the memory that this worker has freed back to the machine.
+
+    A worker serves stage after stage. What the allocators keep of a former one counts as its memory, beside what the next one takes.
+    """
+    _OPEN.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def target_partitions(rows: int, per_partition: int, least: int = 1) -> int:
     """Partitions that hold about `per_partition` rows each."""
     return max(least, -(-rows // per_partition))

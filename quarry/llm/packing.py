@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .textvec import U64, mix
 from .tokens import encoded, vocabulary_path
 
@@ -307,6 +307,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, size: int, end: int, voc
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
+        release()
         for batch in batches:
             out: list[tuple[int, int, int, int, int]] = []
             for first, ids, at in encoded(batch.column(1), vocabulary, end):

@@ -62,7 +62,7 @@ class Table:
 class Encoder:
     """Ids of texts. At most `most` pieces are remembered, some 50 bytes each; then the memory starts anew."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -168,7 +168,7 @@ class Encoder:
                     size[own] = n
                     start[own] = self._keep(ids) + np.cumsum(n) - n
             self.recent.add(unique[missing], start[missing], size[missing])
-            if len(self.recent.hash) > 400_000:
+            if len(self.recent.hash) > 100_000:
                 self.main.add(self.recent.hash, self.recent.start, self.recent.size)
                 self.recent = Table()
 

@@ -103,3 +103,15 @@ def test_mappings_of_a_worker_are_bounded(tmp_path, monkeypatch):
     for _ in range(2):
         assert own.contains(np.concatenate([keys, keys + np.uint64(1)])).tolist() == [True] * parts + [False] * parts
         assert len(common._OPEN) == 5
+
+
+def test_a_packing_task_starts_without_what_former_stages_kept(monkeypatch):
+    import inspect
+
+    from quarry.llm import common, packing, tokens
+
+    monkeypatch.setattr(common, "_OPEN", collections.OrderedDict(a=(object(), 1)))
+    common.release()
+    assert not common._OPEN
+    assert inspect.getsource(packing.pieces).index("release()") < inspect.getsource(packing.pieces).index("for batch in batches")
+    assert inspect.signature(tokens.Encoder).parameters["most"].default <= 500_000
